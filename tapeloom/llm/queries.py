@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, exact_dedup, mixing, token_store
+from tapeloom.llm import bpe, exact_dedup, mixing, quality, simhash, token_store
 from tapeloom.llm.common import Scratch, shuffle_partitions, table
 
 
@@ -35,6 +35,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def earlier_half(docs: DataFrame):
     """History for op10: the rows in the lower half of the keys' range."""
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -57,7 +67,7 @@ SQL = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_store, op3_byte_bpe, op5_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_token_store, op3_byte_bpe, op5_mixing, op6_quality, op8_simhash, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
