@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, exact_dedup, mixing, quality, simhash, token_store
+from tapeloom.llm import bpe, exact_dedup, maxscore, mixing, quality, simhash, token_store
 from tapeloom.llm.common import Scratch, shuffle_partitions, table
 
 
@@ -40,6 +40,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = maxscore.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return rows.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -58,6 +63,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op7_maxscore": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        )
+        SELECT query_id, rank, vec_id, score
+        FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5
+    """,
     "op10_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
@@ -67,7 +83,7 @@ SQL = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_store, op3_byte_bpe, op5_mixing, op6_quality, op8_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_token_store, op3_byte_bpe, op5_mixing, op6_quality, op7_maxscore, op8_simhash, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
