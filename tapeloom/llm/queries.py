@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, exact_dedup, maxscore, mixing, quality, simhash, token_store
+from tapeloom.llm import bpe, chat_tree, exact_dedup, maxscore, mixing, quality, simhash, token_store
 from tapeloom.llm.common import Scratch, shuffle_partitions, table
 
 
@@ -31,6 +31,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionAll(spark.createDataFrame(extra, "conv_id bigint, turn bigint, role string, text string"))
+    return chat_tree.read(chat_tree.pack(rows, Scratch(spark, "chat-tree")), shuffle_partitions(spark))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -83,7 +90,7 @@ SQL = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_store, op3_byte_bpe, op5_mixing, op6_quality, op7_maxscore, op8_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_token_store, op3_byte_bpe, op4_chat_tree, op5_mixing, op6_quality, op7_maxscore, op8_simhash, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
