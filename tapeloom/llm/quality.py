@@ -151,3 +151,15 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """key, held_out and score for each row of docs."""
     x = Scratch(docs.sparkSession, "quality").write(features(docs, key, text), "features")
     return score(x, train(x, labels, key, folds=folds, held_out=held_out)).withColumn("held_out", crc_fold(key, folds) == held_out)
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key: str = "doc_id", text: str = "text", folds: int = 4, held_out: int = 2) -> DataFrame:
+    """The rows of docs that score threshold or more, with docs' columns. Texts stay in their tasks."""
+    model = train(Scratch(docs.sparkSession, "quality").write(features(docs, key, text), "features"), labels, key, folds=folds, held_out=held_out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            x = np.array([statistics(t) for t in utf8(batch.column(text))])
+            yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
