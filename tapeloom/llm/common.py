@@ -112,3 +112,31 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+class Memo:
+    """Results by key in two generations of at most size keys: what is used again survives, memory stays bounded."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def rotate(self) -> dict:
+        """Starts a new generation where the young one is full, and returns the young one."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        return self.young
+
+    def of(self, keys: set, make) -> dict:
+        """A mapping that has all of keys; make(list of keys) gives the results of those not known."""
+        young, old = self.young, self.old
+        missing = []
+        for key in keys:
+            if key not in young:
+                value = old.get(key)
+                if value is None:
+                    missing.append(key)
+                else:
+                    young[key] = value
+        if missing:
+            young.update(zip(missing, make(missing), strict=True))
+        return young

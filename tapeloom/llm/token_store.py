@@ -26,14 +26,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import Scratch, mix64, shuffle_partitions
+from tapeloom.llm.common import LOWER_TABLE, Memo, Scratch, mix64, shuffle_partitions
 from tapeloom.llm.mphf import Mphf
 
 #: Keys per bucket of the index, about.
 BUCKET_KEYS = 50_000
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<i4"), ("offset", "<i8"), ("length", "<i8")])
-#: Distinct words whose ids a task remembers at most.
-MEMO = 1 << 18
+#: Distinct words whose ids a worker remembers at most, in each of two generations.
+MEMO = 300_000
+#: ASCII marks that the tokenizers' patterns keep together; an apostrophe may begin a pre-token of its own.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @lru_cache(maxsize=1)
@@ -45,27 +47,67 @@ def _tokenizer(path: str):
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that drops white space, word by word with a memo.
+    """Encodes texts with a tokenizer that lower-cases and drops white space, word by word with a memo.
 
-    Such a tokenizer's ids of a text are those of its white-space-separated words in turn, so each distinct word goes
-    through the library once. Only ASCII white space separates words here; the library sees everything else."""
+    Such a tokenizer's ids of a text are those of its white-space-separated words in turn, so a word that is remembered
+    need not go through the library again. Only ASCII white space separates words here, and only A-Z is lower-cased
+    ahead; the library sees everything else. Words new to the memo go through it together where the word-end tokens
+    tell whose ids are whose, else one by one."""
 
     def __init__(self, path: str, dtype: str):
-        self.library, self.dtype, self.memo = _tokenizer(path), dtype, {}
+        self.library, self.dtype, self.memo = _tokenizer(path), np.dtype(dtype), Memo(MEMO)
+        suffix = self.library.model.end_of_word_suffix
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        found: dict[bytes, bytes] = {}
+        plain, parts = [], []  # words of a known number of pre-tokens: letters, then marks
+        for w in words:
+            core = w.rstrip(MARKS)
+            if not core or core.decode().isalpha():
+                plain.append(w)
+                parts.append((len(core) > 0) + (len(core) < len(w)))
+            else:
+                found[w] = self._ids(w.decode()).tobytes()
+        for at in range(0, len(plain), 2048):
+            some, own = plain[at : at + 2048], np.cumsum(parts[at : at + 2048])
+            ids = self._ids(b" ".join(some).decode())
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == own[-1]:  # no word has fewer than its parts, so none has more
+                flat, stops = ids.tobytes(), (ends[own - 1] * self.dtype.itemsize).tolist()
+                found.update(zip(some, (flat[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+            else:
+                found.update((w, self._ids(w.decode()).tobytes()) for w in some)
+        return [found[w] for w in words]
 
     def payloads(self, texts: list[bytes]) -> list[bytes]:
-        memo, words = self.memo, [t.split() for t in texts]
-        distinct = set().union(*words)
-        missing = [w for w in distinct if w not in memo]
-        if missing:
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = list(distinct)
-            for at in range(0, len(missing), 4096):
-                some = missing[at : at + 4096]
-                for word, found in zip(some, self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    memo[word] = np.array(found.ids, self.dtype).tobytes()
-        return [b"".join([memo[w] for w in own]) for own in words]
+        words = [t.translate(LOWER_TABLE).split() for t in texts]
+        get, missing = self.memo.rotate().get, set()
+        found = []
+        for own in words:
+            values = list(map(get, own))
+            gaps = [i for i, v in enumerate(values) if v is None] if None in values else []
+            missing.update([own[i] for i in gaps])
+            found.append((values, gaps))
+        known = self.memo.of(missing, self._encode)
+        out = []
+        for own, (values, gaps) in zip(words, found, strict=True):
+            for i in gaps:
+                values[i] = known[own[i]]
+            out.append(b"".join(values))
+        return out
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, dtype: str) -> WordEncoder:
+    """One for each Python worker, over all its tasks."""
+    return WordEncoder(path, dtype)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -86,7 +128,7 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, scratch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard = WordEncoder(tokenizer, dtype), TaskContext.get().partitionId()
+        encoder, shard = _encoder(tokenizer, dtype), TaskContext.get().partitionId()
         fs, top = filesystem(root)
         fs.create_dir(top, recursive=True)
         file, out, start, last, nth = f"{shard:06d}-{uuid.uuid4().hex[:12]}.bin", None, 0, object(), 0
