@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import list_array, pieces
+from tapeloom.llm.common import Memo, list_array, pieces
 
-#: Pre-tokens whose ids a task remembers at most; the memo starts anew when full.
-MEMO = 1 << 18
+#: Pre-tokens whose ids a worker remembers at most, in each of two generations.
+MEMO = 400_000
 
 
 class RankQueue:
@@ -78,7 +78,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.bytes = {i: b for b, i in ranks.items()}
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -123,15 +123,17 @@ class Codec:
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        memo, parts = self.memo, self.split(text)
-        missing = [p for p in set(parts) if p not in memo]
-        if missing:
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = set(parts)
-            for p in missing:
-                memo[p] = np.array(self.merge(p.encode()), "<i4").tobytes()
-        return np.frombuffer(b"".join([memo[p] for p in parts]), "<i4")
+        parts = self.split(text)
+        values = list(map(self.memo.rotate().get, parts))
+        if None in values:
+            gaps = [i for i, v in enumerate(values) if v is None]
+            known = self.memo.of({parts[i] for i in gaps}, self._encode)
+            for i in gaps:
+                values[i] = known[parts[i]]
+        return np.frombuffer(b"".join(values), "<i4")
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        return [np.array(self.merge(p.encode()), "<i4").tobytes() for p in parts]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
