@@ -8,8 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, chat_tree, exact_dedup, maxscore, mixing, quality, simhash, token_store
-from tapeloom.llm.common import Scratch, shuffle_partitions, table
+from tapeloom.llm import bpe, chat_tree, exact_dedup, katz, maxscore, mixing, quality, simhash, token_store
+from tapeloom.llm.common import Scratch, crc_fold, shuffle_partitions, table
+
+
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.Katz(Scratch(spark, "katz"), order=2).fit_and_score(table(spark, sf_dir, "documents"), crc_fold("doc_id", 5) == 1)
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +94,7 @@ SQL = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_store, op3_byte_bpe, op4_chat_tree, op5_mixing, op6_quality, op7_maxscore, op8_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_katz, op2_token_store, op3_byte_bpe, op4_chat_tree, op5_mixing, op6_quality, op7_maxscore, op8_simhash, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
