@@ -32,14 +32,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tapeloom.llm.common import LOWER_TABLE, Scratch, mix64, pieces, utf8
-from tapeloom.llm.token_store import filesystem
+from tapeloom.llm.exchange import bucket_of, pack, pack_counts, read_answers, shard_of, store_answers, unpack, unpack_counts
 
 #: Tokens per block; Good-Turing discounts counts up to CUT; tokens of the corpus per shard, about.
 BLOCK, CUT, SHARD_TOKENS = 1 << 20, 5, 1 << 21
@@ -47,33 +45,6 @@ END = xxh64_intdigest(b" ")  # no word holds a space
 GRAMS = np.uint64(0x9FB21C651E98DF25)
 
 
-def pack(a: np.ndarray) -> bytes:
-    """An array as compressed byte planes."""
-    raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
-    return zstandard.compress(raw, 1)
-
-
-def unpack(blob: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel() if len(raw) else np.zeros(0, dtype)
-
-
-def narrow(a: np.ndarray) -> np.ndarray:
-    """Counts or numbers in the least of 1, 2, 4, 8 bytes that holds them all."""
-    most = int(a.max(initial=0))
-    return a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
-
-
-def pack_counts(a: np.ndarray) -> bytes:
-    own = narrow(a)
-    return bytes([own.itemsize]) + pack(own)
-
-
-def unpack_counts(blob: bytes) -> np.ndarray:
-    return unpack(blob[1:], f"<u{blob[0]}").astype(np.int64)
-
-
 def discounts(n: np.ndarray) -> np.ndarray:
     """Factors for counts 0..CUT+1 (1 beyond CUT); n[r]: how many were seen r times, r up to CUT + 1."""
     out = np.ones(CUT + 2)
@@ -172,10 +143,6 @@ def blocks(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "te
     return df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), held_out.alias("held_out")).mapInArrow(run, BLOCKS)
 
 
-def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-
-
 ASK = "shard int, block bigint, contexts binary, runs binary, words binary, counts binary, low binary"
 ANSWER = "kind string, shard int, block bigint, a binary, b binary, c binary"
 _ANSWER_NAMES = ["kind", "shard", "block", "a", "b", "c"]
@@ -191,7 +158,7 @@ def _ask_words(shards: int):
         for batch in batches:
             for r in batch.to_pylist():
                 words, counts = unpack(r["words"], "<u8"), unpack_counts(r["counts"])
-                cuts = np.searchsorted(_shard_of(words, shards), np.arange(shards + 1))
+                cuts = np.searchsorted(shard_of(words, shards), np.arange(shards + 1))
                 rows = [(s, r["block"], pack(words[a:b]), b"", b"", pack_counts(counts[a:b]), b"") for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate([pa.int32(), pa.int64(), *[pa.binary()] * 5])], names=["shard", "block", "contexts", "runs", "words", "counts", "low"])
 
@@ -264,7 +231,7 @@ class Evaluation:
         low = self.counts[self.tokens[self.first]] if k == 2 else self.p[self.first]
         hashes = self.hashes[self.contexts]
         runs = np.bincount(self.pair_context, minlength=len(self.contexts))
-        cuts = np.searchsorted(_shard_of(hashes, shards), np.arange(shards + 1))
+        cuts = np.searchsorted(shard_of(hashes, shards), np.arange(shards + 1))
         stops = np.concatenate([[0], np.cumsum(runs)])
         out = []
         for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -354,13 +321,12 @@ class Katz:
         return add([r.a for r in rows], CUT + 2), add([r.b for r in rows], 2)
 
     def _store(self, asks: DataFrame, count, k: int) -> DataFrame:
-        """The table of order k, partitioned by kind; then the answers again, sorted by block in buckets."""
+        """The table of order k, partitioned by kind; its answers are sorted by block."""
         path, spark = self.scratch.path(f"order-{k}"), self.scratch.spark
         asks.groupBy("shard").applyInArrow(count, ANSWER).write.partitionBy("kind").option("compression", "zstd").parquet(path)
         level = spark.read.parquet(path)
         self.scratch.release()
-        answers = level.where("kind = 'answer'").withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(self.buckets)).cast("int"))
-        answers.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "block", "shard").write.partitionBy("bucket").parquet(self.scratch.path(f"answers-{k}"))
+        store_answers(level.where("kind = 'answer'").drop("kind"), self.scratch.path(f"answers-{k}"), self.buckets)
         self.scratch.drop(f"order-{k}/kind=answer")
         self.scratch.release()
         return level
@@ -374,8 +340,7 @@ class Katz:
             for r in batch.to_pylist():
                 own = Evaluation(r, model)
                 for k, root in enumerate(roots, 1):
-                    fs, top = filesystem(root)
-                    found = pq.ParquetDataset(f"{top}/bucket={r['bucket']}", filesystem=fs, filters=[("block", "=", r["block"])], partitioning=None).read(["shard", "a", "b", "c"]).sort_by("shard").to_pylist()
+                    found = read_answers(root, r["bucket"], r["block"])
                     if k == 1:
                         own.words_answered(found)
                     else:
@@ -391,7 +356,7 @@ class Katz:
         cut = s.write(blocks(df, held_out, key, text), "blocks")
         count = cut.count()
         self.buckets = max(1, -(-count // 4))
-        cut = cut.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(self.buckets)).cast("int"))
+        cut = cut.withColumn("bucket", bucket_of(self.buckets))
         shards = max(1, count * BLOCK // SHARD_TOKENS)
         if count:
             level = self._store(cut.mapInArrow(_ask_words(shards), ASK), _count_words(shards), 1)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, chat_tree, exact_dedup, katz, maxscore, mixing, quality, simhash, token_store
+from tapeloom.llm import bpe, chat_tree, exact_dedup, katz, maxscore, mixing, quality, simhash, span_dedup, token_store
 from tapeloom.llm.common import Scratch, crc_fold, shuffle_partitions, table
 
 
@@ -61,6 +61,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["to"] - x["from"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def earlier_half(docs: DataFrame):
     """History for op10: the rows in the lower half of the keys' range."""
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -94,7 +100,7 @@ SQL = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_katz, op2_token_store, op3_byte_bpe, op4_chat_tree, op5_mixing, op6_quality, op7_maxscore, op8_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_katz, op2_token_store, op3_byte_bpe, op4_chat_tree, op5_mixing, op6_quality, op7_maxscore, op8_simhash, op9_span_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

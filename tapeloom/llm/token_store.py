@@ -22,11 +22,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import LOWER_TABLE, Memo, Scratch, mix64, shuffle_partitions
+from tapeloom.llm.common import LOWER_TABLE, Memo, Scratch, filesystem, mix64, shuffle_partitions
 from tapeloom.llm.mphf import Mphf
 
 #: Keys per bucket of the index, about.
@@ -110,10 +109,6 @@ def _encoder(path: str, dtype: str) -> WordEncoder:
     return WordEncoder(path, dtype)
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def width(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
