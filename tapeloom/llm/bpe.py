@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token is a linked list of byte runs. Every adjacent pair whose joined bytes have a rank waits in the bucket of
-that rank; three levels of 64-bit words say which buckets hold anything, so find-first-set finds the lowest rank in
-three steps whatever the pre-token's length. A bucket gives its leftmost position first. Entries whose pair has
+that rank; two levels of 256-bit words say which buckets hold anything, so find-first-set finds the lowest rank in
+two steps whatever the pre-token's length. A bucket gives its leftmost position first. Entries whose pair has
 changed meanwhile are stale: they are skipped when they come up. The work is O(n log n) for n bytes.
 
 Defined results: a null text is the empty text, which has no ids; texts are encoded whole, whatever their length;
@@ -15,6 +15,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,49 +26,46 @@ from pyspark.sql import types as T
 from tapeloom.llm.common import Memo, list_array, pieces
 
 #: Pre-tokens whose ids a worker remembers at most, in each of two generations.
-MEMO = 400_000
+MEMO = 300_000
+
+
+_BIT = [1 << i for i in range(256)]
 
 
 class RankQueue:
     """Positions by rank; pops the leftmost position of the lowest rank. Reusable once it has run empty."""
 
     def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
+        self.low = [0] * ((ranks >> 8) + 1)  # which ranks of each 256 hold anything
+        self.top = 0  # which of those words are not zero
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
             self.buckets[rank] = [position]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-            self.top |= 1 << (rank >> 12)
+            self.low[rank >> 8] |= _BIT[rank & 255]
+            self.top |= 1 << (rank >> 8)
         else:
             heappush(bucket, position)
 
     def pop(self) -> tuple[int, int]:
         """The lowest rank and its leftmost position; raises IndexError when empty."""
-        if not self.top:
+        top = self.top
+        if not top:
             raise IndexError("empty")
-        a = (self.top & -self.top).bit_length() - 1
-        w = self.mid[a]
-        b = a << 6 | (w & -w).bit_length() - 1
-        w = self.low[b]
-        rank = b << 6 | (w & -w).bit_length() - 1
+        high = (top & -top).bit_length() - 1
+        word = self.low[high]
+        rank = high << 8 | (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            w &= w - 1
-            self.low[b] = w
-            if not w:
-                w = self.mid[a] & ~(1 << (b & 63))
-                self.mid[a] = w
-                if not w:
-                    self.top &= ~(1 << a)
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        word &= word - 1
+        self.low[high] = word
+        if not word:
+            self.top = top & (top - 1)
+        return rank, bucket[0]
 
 
 class Codec:
@@ -83,20 +81,19 @@ class Codec:
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
         ranks, queue = self.ranks, self.queue
-        whole = ranks.get(piece)
+        get, push, pop = ranks.get, queue.push, queue.pop
+        whole = get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
         after, before = list(range(1, n + 2)), list(range(-1, n + 1))
-        waiting = [-1] * (n + 1)  # the rank of the pair that starts here
-        get, push = ranks.get, queue.push
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                waiting[i] = rank
+        waiting = [get(piece[i : i + 2], -1) for i in range(n)]  # the rank of the pair that starts here
+        waiting[n - 1] = -1
+        for i, rank in enumerate(waiting):
+            if rank >= 0:
                 push(rank, i)
         while queue.top:
-            rank, i = queue.pop()
+            rank, i = pop()
             if waiting[i] != rank:
                 continue  # stale
             gone = after[i]
@@ -104,22 +101,21 @@ class Codec:
             after[i] = end
             before[end] = i
             waiting[gone] = -1
-            new = get(piece[i : after[end]]) if end < n else None
-            waiting[i] = -1 if new is None else new
-            if new is not None:
+            waiting[i] = new = get(piece[i : after[end]], -1) if end < n else -1
+            if new >= 0:
                 push(new, i)
             left = before[i]
             if left >= 0:
-                new = get(piece[left:end])
-                if new is None:
-                    waiting[left] = -1
-                elif waiting[left] != new:
+                new = get(piece[left:end], -1)
+                if waiting[left] != new:
                     waiting[left] = new
-                    push(new, left)
+                    if new >= 0:
+                        push(new, left)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            end = after[i]
+            out.append(ranks[piece[i:end]])
+            i = end
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -133,7 +129,7 @@ class Codec:
         return np.frombuffer(b"".join(values), "<i4")
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(self.merge(p.encode()), "<i4").tobytes() for p in parts]
+        return [pack(f"<{len(ids)}i", *ids) for ids in map(self.merge, map(str.encode, parts))]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
@@ -151,17 +147,23 @@ def _with(df: DataFrame, *fields: T.StructField) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name not in names), *fields])
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with the ids of each whole text in the column ids (array of int)."""
-    out = _with(df, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False))
-    keep = out.names[:-1]
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """df with the ids of each whole text in the column ids (array of int), and in the column decoded, if named, the bytes that
+    those ids decode to: one pass of one worker does both."""
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
+    if decoded:
+        fields.append(T.StructField(decoded, T.BinaryType(), False))
+    out = _with(df, *fields)
+    keep = out.names[: -len(fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in pieces(batches):
+        for batch in pieces(batches, 128):
             found = [own.encode(t or "") for t in batch.column(text).to_pylist()]
-            flat = np.concatenate(found) if found else np.zeros(0, "<i4")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), list_array(flat, [len(x) for x in found])], names=[*keep, ids])
+            cols = [list_array(np.concatenate(found), [len(x) for x in found])]
+            if decoded:
+                cols.append(pa.array([own.decode(x) for x in found], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols], names=out.names)
 
     return df.mapInArrow(run, out)
 

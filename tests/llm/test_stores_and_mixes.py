@@ -77,6 +77,12 @@ def test_op3(spark, request, which, encoding):
     assert Counter(map(tuple, queries.op3_byte_bpe(spark, folder).collect())) == want
 
 
+def test_decode_alone(spark, edge):
+    frame = spark.read.parquet(f"{edge}/documents.parquet").select("text", "ids", "key")
+    rows = bpe.decode(bpe.encode(frame, RANKS, P.PATTERN), RANKS, P.PATTERN, decoded="key").collect()
+    assert rows and all(bytes(r.key) == (r.text or "").encode() for r in rows)
+
+
 @pytest.mark.parametrize("which", ["edge", "small", "empty"])
 def test_op2(spark, request, which):
     folder = request.getfixturevalue(which)
