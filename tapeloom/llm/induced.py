@@ -72,8 +72,11 @@ class SpillQueue:
         while chunks := self.heap.get(symbol):
             some, size = [], 0
             while chunks and size < BATCH:
-                some.append(self._load(chunks.pop(0)))
+                chunk = chunks.pop(0)
+                some.append(self._load(chunk))
                 size += len(some[-1][0])
+                if chunk is some[-1]:
+                    self.held -= chunk[0].nbytes + chunk[1].nbytes
             if not chunks:
                 del self.heap[symbol]
             yield (some[0] if len(some) == 1 else (np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some])))

@@ -25,13 +25,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import Scratch, pieces, utf8
+from tapeloom.llm.common import Scratch, mix64, pieces, utf8
 from tapeloom.llm.exchange import bucket_of, pack, pack_counts, read_answers, shard_of, store_answers, unpack, unpack_counts
 from tapeloom.llm.induced import suffixes
 
 SPAN, ANCHOR = 50, 20
 #: Bytes of text per block and per shard, about; windows per piece at most.
-BLOCK, SHARD, PIECE = 4 << 20, 8 << 20, 256
+BLOCK, SHARD, PIECE = 4 << 20, 3 << 20, 256
 #: S* suffixes sorted in memory, and bytes of queue held in memory, at most.
 BASE, QUEUE = 1 << 22, 64 << 20
 NONE = np.iinfo(np.int64).max
@@ -101,7 +101,7 @@ class Block:
         edge = np.flatnonzero(np.append(cut | ~inside, True))
         starts, stops = edge[:-1], edge[1:]
         some = inside[starts]
-        return starts[some], (stops - starts)[some], h[starts[some]]
+        return starts[some], (stops - starts)[some], mix64(h[starts[some]])  # mixed: least hashes are all small, shards are ranges
 
     def documents(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, side="right")
