@@ -40,7 +40,7 @@ from tapeloom.llm.common import LOWER_TABLE, Scratch, mix64, pieces, utf8
 from tapeloom.llm.exchange import bucket_of, pack, pack_counts, read_answers, shard_of, store_answers, unpack, unpack_counts
 
 #: Tokens per block; Good-Turing discounts counts up to CUT; tokens of the corpus per shard, about.
-BLOCK, CUT, SHARD_TOKENS = 1 << 20, 5, 1 << 21
+BLOCK, CUT, SHARD_TOKENS = 3 << 18, 5, 1 << 21
 END = xxh64_intdigest(b" ")  # no word holds a space
 GRAMS = np.uint64(0x9FB21C651E98DF25)
 
@@ -188,6 +188,21 @@ def _count_words(shards: int):
     return run
 
 
+def steps(runs: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Numbers that rise within each run as differences; a run's first stays."""
+    out = np.diff(numbers, prepend=0)
+    first = (np.cumsum(runs) - runs)[runs > 0]
+    out[first] = numbers[first]
+    return out
+
+
+def values(runs: np.ndarray, differences: np.ndarray) -> np.ndarray:
+    """What steps() took differences of."""
+    runs = runs[runs > 0]
+    total, first = np.cumsum(differences), np.cumsum(runs) - runs
+    return total - np.repeat(total[first] - differences[first], runs)
+
+
 class Evaluation:
     """A block with the answers of some orders: the probability of every token at the highest of them."""
 
@@ -195,9 +210,9 @@ class Evaluation:
         self.model, self.keys = model, row["keys"]
         self.lengths = unpack(row["lengths"], "<u4").astype(np.int64)
         self.train = unpack(row["train"], np.uint8).astype(bool)
-        self.words, self.tokens = unpack(row["words"], "<u8"), unpack_counts(row["tokens"])
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.words, self.tokens = unpack(row["words"], "<u8"), unpack_counts(row["tokens"]).astype(np.int32)
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        self.place = np.arange(len(self.tokens), dtype=np.int32) - np.repeat((np.cumsum(self.lengths) - self.lengths).astype(np.int32), self.lengths)
         self.order = 0
 
     def words_answered(self, answers: list[dict]) -> None:
@@ -238,7 +253,7 @@ class Evaluation:
             if b > a:
                 x, y = stops[a], stops[b]
                 lows = pack_counts(low[x:y]) if k == 2 else pack(low[x:y])
-                out.append((s, block, pack(hashes[a:b]), pack_counts(runs[a:b]), pack_counts(self.pair_number[x:y]), pack_counts(counts[x:y]), lows))
+                out.append((s, block, pack(hashes[a:b]), pack_counts(runs[a:b]), pack_counts(steps(runs[a:b], self.pair_number[x:y])), pack_counts(counts[x:y]), lows))
         return out
 
     def pairs_answered(self, answers: list[dict]) -> None:
@@ -278,7 +293,7 @@ def _count_pairs(k: int, model: Model):
         contexts, at = np.unique(np.concatenate(asked), return_inverse=True)
         runs = np.concatenate([unpack_counts(r["runs"]) for r in rows])
         owner = np.repeat(at, runs)
-        numbers = np.concatenate([unpack_counts(r["words"]) for r in rows])
+        numbers = np.concatenate([values(unpack_counts(r["runs"]), unpack_counts(r["words"])) for r in rows])
         counts = np.concatenate([unpack_counts(r["counts"]) for r in rows])
         wide = int(numbers.max(initial=0)) + 1
         code = owner * wide + numbers  # far below 2^63: a shard's contexts times the corpus's words

@@ -99,3 +99,9 @@ def test_packing():
         assert np.array_equal(katz.unpack_counts(katz.pack_counts(a)), a)
     h = np.random.default_rng(0).integers(0, 2**63, 77, dtype=np.uint64)
     assert np.array_equal(katz.unpack(katz.pack(h), "<u8"), h)
+
+
+def test_steps_round_trip():
+    runs, numbers = np.array([2, 0, 3, 1]), np.array([4, 9, 1, 2, 50, 7])
+    assert katz.values(runs, katz.steps(runs, numbers)).tolist() == numbers.tolist()
+    assert katz.values(np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
