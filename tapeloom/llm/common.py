@@ -134,14 +134,9 @@ class Memo:
     def of(self, keys: set, make) -> dict:
         """A mapping that has all of keys; make(list of keys) gives the results of those not known."""
         young, old = self.young, self.old
-        missing = []
-        for key in keys:
-            if key not in young:
-                value = old.get(key)
-                if value is None:
-                    missing.append(key)
-                else:
-                    young[key] = value
+        again = old.keys() & keys if old else ()
+        young.update({key: old[key] for key in again})
+        missing = [key for key in keys if key not in young]
         if missing:
             young.update(zip(missing, make(missing), strict=True))
         return young

@@ -32,7 +32,7 @@ from tapeloom.llm.mphf import Mphf
 BUCKET_KEYS = 50_000
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<i4"), ("offset", "<i8"), ("length", "<i8")])
 #: Distinct words whose ids a worker remembers at most, in each of two generations.
-MEMO = 300_000
+MEMO = 500_000
 #: ASCII marks that the tokenizers' patterns keep together; an apostrophe may begin a pre-token of its own.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -90,9 +90,13 @@ class WordEncoder:
         get, missing = self.memo.rotate().get, set()
         found = []
         for own in words:
-            values = list(map(get, own))
-            gaps = [i for i, v in enumerate(values) if v is None] if None in values else []
-            missing.update([own[i] for i in gaps])
+            values, gaps, at = list(map(get, own)), [], -1
+            try:
+                while True:
+                    at = values.index(None, at + 1)
+                    gaps.append(at)
+            except ValueError:
+                missing.update([own[i] for i in gaps])
             found.append((values, gaps))
         known = self.memo.of(missing, self._encode)
         out = []
@@ -130,7 +134,7 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, scratch
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                part = batch.slice(at, 256)
+                part = batch.slice(at, 1024)
                 at += part.num_rows
                 keys = part.column("key").to_pylist()
                 payloads = [p + end for p in encoder.payloads(part.column("text").cast(pa.binary()).to_pylist())]
