@@ -2,14 +2,471 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapeloom.functions import itch
+from tapeloom.functions.binary import big_endian
+from tapeloom.operators import arbitrate as A
+from tapeloom.operators import book as B
+from tapeloom.operators import folds, measure, recovery, venue
+from tapeloom.plans import oracles
+from tapeloom.session import tables
+from tapeloom.sources import derived as D
+from tapeloom.sources import wire
+from tapeloom.streaming import sequencer, windows
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]):
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
+
+
+def shared(spark: SparkSession) -> str:
+    """A new folder that all executors share; sets a checkpoint folder where none is set, as in local runs."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints/tapeloom"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/engine-{uuid.uuid4().hex[:12]}"
+
+
+def feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The dual feed's packets, what is emitted, and the packets with watermarks; checkpointed, as all three are used again and again."""
+    shared(spark)
+    packets = D.dual_feed(spark, sf_dir).checkpoint()
+    out = A.emitted(packets).checkpoint()
+    return packets, out, A.watermarks(packets, out).checkpoint()
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.emitted(D.dual_feed(spark, sf_dir)).select("seq", "first_arrival", "emit_arrival")
+
+
+@query
+def feed_schedule(spark, d):
+    return D.dual_feed(spark, d).select("arrival", "vt", "feed", "first_seq", "count")
+
+
+@query
+def frame_header_decode(spark, d):
+    rows = D.encoded_feed(spark, d).withColumns(wire.header(F.col("frame")))
+    return rows.select("arrival", "session", F.col("seq").cast("bigint"), "count", "kind", F.col("last_seq").cast("bigint"))
+
+
+@query
+def frame_parse_messages(spark, d):
+    rows = wire.messages(wire.parse_frames(D.encoded_feed(spark, d)))
+    from tapeloom.functions.binary import long
+
+    return rows.select("arrival", "feed", "seq", F.length("msg").alias("size"), long(F.col("msg"), 1, 8).alias("carried"))
+
+
+@query
+def request_encode(spark, d):
+    rows = recovery.requests(A.missing_ranges(D.dual_feed(spark, d)))
+    return rows.select("from_seq", "count", F.hex(wire.request(F.lit(D.SESSION), F.col("from_seq"), F.col("count"))).alias("request"))
+
+
+def _book_messages(spark, d):
+    return D.encoded_book(D.book_tape(spark, d))
+
+
+@query
+def itch_decode_header(spark, d):
+    m = _book_messages(spark, d)
+    return m.select("pos", *(c.alias(n) for n, c in itch.header(F.col("msg")).items()))
+
+
+@query
+def itch_decode_add(spark, d):
+    return itch.decode(_book_messages(spark, d), "A").select("pos", "order_ref", "side", "shares", "price", "stock")
+
+
+@query
+def itch_decode_exec(spark, d):
+    m = _book_messages(spark, d)
+    e, c = itch.decode(m, "E"), itch.decode(m, "C")
+    names = ["pos", "type", "order_ref", "shares", "match_number", "printable", "price"]
+    return e.withColumns({"printable": F.lit(None).cast("string"), "price": F.lit(None).cast("bigint")}).select(names).unionByName(c.select(names))
+
+
+@query
+def itch_decode_cancel_delete(spark, d):
+    m = _book_messages(spark, d)
+    return itch.decode(m, "X").select("pos", "type", "order_ref", "shares").unionByName(itch.decode(m, "D").select("pos", "type", "order_ref", F.lit(None).cast("bigint").alias("shares")))
+
+
+@query
+def itch_decode_replace(spark, d):
+    return itch.decode(_book_messages(spark, d), "U").select("pos", "order_ref", "new_ref", "shares", "price")
+
+
+@query
+def itch_validate_classes(spark, d):
+    msg, pos = F.col("msg"), F.col("pos")
+    bad = F.when(pos % 17 == 0, F.unhex(F.lit(""))).when(pos % 13 == 0, F.concat(F.unhex(F.lit("4F")), msg)).when(pos % 11 == 0, F.expr("substring(msg, 1, length(msg) - 1)")).otherwise(msg)
+    rows = _book_messages(spark, d).select(F.coalesce(itch.error_class(bad), F.lit("ok")).alias("class"))
+    return rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def type_histogram(spark, d):
+    from pyspark.sql import Window
+
+    rows = D.book_tape(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("total", F.sum("n").over(Window.partitionBy()))  # one row for each type
+    return rows.select("type", "n", F.expr("(20000 * n + total) div (2 * total)").alias("basis_points"))
+
+
+@query
+def feed_union_dedup(spark, d):
+    rows = D.messages_of(D.dual_feed(spark, d), "arrival", "feed")
+    return rows.groupBy("seq").agg(F.min("arrival").alias("arrival"), F.min_by("feed", "arrival").alias("feed"))
+
+
+@query
+def arb_emitted(spark, d):
+    return A.emitted(D.dual_feed(spark, d)).select("seq", "first_arrival", "emit_arrival", "staged")
+
+
+@query
+def arb_sequencer(spark, d):
+    rows = sequencer.arbitrate(D.encoded_feed(spark, d).withColumn("tape", F.lit("t")))
+    return rows.where("event = 'Message'").select(F.col("a").alias("seq"), "arrival", "gen")
+
+
+@query
+def arb_eras(spark, d):
+    _, out, marked = feed(spark, d)
+    return A.eras(out, A.gap_events(marked)).select("seq", "emit_arrival", "gen")
+
+
+@query
+def arb_watermark_by_packet(spark, d):
+    return feed(spark, d)[2].select("arrival", "w_before", "w_after")
+
+
+@query
+def arb_packet_class(spark, d):
+    return A.classes(feed(spark, d)[2]).select("arrival", "feed", "class", "dup_msgs")
+
+
+@query
+def arb_gap_events(spark, d):
+    return A.gap_events(feed(spark, d)[2]).select("arrival", "event", "at", "ahead", "gen")
+
+
+@query
+def arb_counters(spark, d):
+    _, out, marked = feed(spark, d)
+    return A.counters(A.classes(marked), out, A.gap_events(marked))
+
+
+@query
+def arb_sessions(spark, d):
+    rows = A.epochs(D.two_sessions(spark, d))
+    return rows.groupBy("session_epoch").agg(F.min("session").alias("session"), F.count(F.lit(1)).alias("packets"), F.min("arrival").alias("first_arrival"), F.min_by("first_seq", "arrival").alias("anchor"))
+
+
+@query
+def arb_missing_ranges(spark, d):
+    return A.missing_ranges(D.dual_feed(spark, d)).select("from_seq", "to_excl")
+
+
+@query
+def recovery_requests(spark, d):
+    return recovery.requests(A.missing_ranges(D.dual_feed(spark, d))).select("from_seq", "count")
+
+
+def truth(spark, d):
+    return tables(spark, d, "events").select(F.lit(0).alias("session_epoch"), (F.col("event_id") + 1).alias("seq"), F.lit(12).alias("size"))
+
+
+@query
+def recovery_served(spark, d):
+    return recovery.serve(recovery.requests(A.missing_ranges(D.dual_feed(spark, d))), truth(spark, d)).select("from_seq", "seq")
+
+
+def recovered(spark, d):
+    shared(spark)
+    return A.emitted(recovery.recover(D.dual_feed(spark, d), truth(spark, d))[0])
+
+
+@query
+def recovery_fixpoint(spark, d):
+    return recovered(spark, d).select("seq")
+
+
+@query
+def conformance_check(spark, d):
+    _, out, marked = feed(spark, d)
+    out = A.eras(out, A.gap_events(marked)).checkpoint()
+    return out.agg(F.count(F.lit(1)).alias("n_messages")).crossJoin(A.conformance(out).agg(F.count(F.lit(1)).alias("violations")))  # one row each
+
+
+@query
+def triple_equality(spark, d):
+    got = recovered(spark, d).select("seq")
+    want = truth(spark, d).select("seq").join(D.dual_feed(spark, d).agg(F.max("last_seq").alias("top")), F.col("seq") <= F.col("top")).select("seq")
+    return got.exceptAll(want).agg(F.count(F.lit(1)).alias("left_only")).crossJoin(want.exceptAll(got).agg(F.count(F.lit(1)).alias("right_only")))  # one row each
+
+
+@query
+def seek_messages(spark, d):
+    return D.book_tape(spark, d).where("pos BETWEEN 100 AND 199").select("pos", "type", "order_ref")
+
+
+@query
+def sampled_messages(spark, d):
+    return D.book_tape(spark, d).where("pos % 256 = 0").select("pos", "type")
+
+
+def book(spark, d) -> tuple[DataFrame, DataFrame]:
+    shared(spark)
+    tape = D.book_tape(spark, d).checkpoint()
+    return tape, B.tokens(tape)
+
+
+@query
+def book_tokens(spark, d):
+    return book(spark, d)[1].select("pos", "type", "locate", "seq", "px", "db", "da", "anomaly", "clamped")
+
+
+@query
+def book_telemetry(spark, d):
+    tape, tokens = book(spark, d)
+    return B.telemetry(tokens, tape)
+
+
+@query
+def book_volume_by_locate(spark, d):
+    rows = B.by_locate(book(spark, d)[1])
+    return rows.select("locate", F.col("db").alias("bid"), F.col("da").alias("ask")).crossJoin(rows.agg(F.count(F.lit(1)).alias("n_locates")))  # one row
+
+
+@query
+def last_trade_by_locate(spark, d):
+    return B.by_locate(book(spark, d)[1]).where("seq > 0").select("locate", "px", "seq")
+
+
+@query
+def sig_chunks(spark, d):
+    return B.chunks(book(spark, d)[1])
+
+
+@query
+def sig_locate_chunks(spark, d):
+    return B.locate_chunks(book(spark, d)[1])
+
+
+@query
+def sig_global(spark, d):
+    return book(spark, d)[1].rollup("locate").agg(F.sum("db").cast("bigint").alias("db"), F.sum("da").cast("bigint").alias("da"), F.max("seq").alias("seq"))
+
+
+@query
+def chunk_states(spark, d):
+    return B.chunk_states(book(spark, d)[1])
+
+
+@query
+def lob_window_states(spark, d):
+    return B.lob_states(B.lob_events(D.book_tape(spark, d)))
+
+
+@query
+def best_price(spark, d):
+    return B.lob_events(D.book_tape(spark, d)).agg(F.max(F.when(F.col("kind") == "Add", F.col("px"))).alias("best_px"))
+
+
+@query
+def symbol_enrich(spark, d):
+    directory = tables(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("symbol"))  # a stock directory: one row for each locate
+    rows = book(spark, d)[1].join(F.broadcast(directory), F.col("locate") % 25 == F.col("n_nationkey"))
+    return rows.groupBy("symbol").agg(F.sum("db").cast("bigint").alias("bid"), F.sum("da").cast("bigint").alias("ask"))
+
+
+@query
+def slot_demux(spark, d):
+    return tables(spark, d, "orders").select((F.col("o_custkey") % 64).cast("int").alias("locate")).distinct().withColumn("slot", venue.slot(F.col("locate")))
+
+
+@query
+def window_digest_commutative(spark, d):
+    return venue.digest(venue.digest(venue.window_records(book(spark, d)[1]), "slot", "window"), "window")
+
+
+@query
+def slot_windows(spark, d):
+    return venue.digest(venue.window_records(book(spark, d)[1]), "slot", "window").select("slot", "window", "v", "db", "da", "cnt")
+
+
+@query
+def trigger_reads(spark, d):
+    pubs = D.publications(spark, d)
+    return venue.trigger_reads(D.triggers(pubs), pubs).select("slot", "window", "w_prime", "claim", "read", "base_ns")
+
+
+@query
+def phantom_verdicts(spark, d):
+    pubs = D.publications(spark, d)
+    return venue.verdicts(venue.trigger_reads(D.triggers(pubs), pubs)).select("slot", "window", "verdict", "legal", "legal_full")
+
+
+@query
+def record_projections(spark, d):
+    return D.publications(spark, d).select("slot", "window", *(venue.project(F.lit(k)).alias(f"phi{k}") for k in range(5)))
+
+
+def samples(spark, d):
+    e = F.col("event_id")
+    flags = F.when(e % 29 == 0, measure.FIRST_TOUCH).when(e % 31 == 0, measure.PREV_CAPTURE).when(e % 37 == 0, measure.HB_EOS).when(e % 41 == 0, measure.EPOCH_EVENT).otherwise(0)
+    m0 = e * 5000 + F.when(e % 53 == 0, 4000).otherwise(0)
+    latency = e * 7919 % 3000 + F.when(e % 101 == 0, e * 3700 % 100_000_000).otherwise(0)
+    return tables(spark, d, "events").select((e + 1).alias("seq"), latency.alias("latency"), m0.alias("m0"), (m0 + 1000).alias("m3"), flags.alias("flags"), (e % 64).alias("batch_pos"), F.lit(64).alias("batch_size"))
+
+
+@query
+def latency_histogram(spark, d):
+    return measure.histogram(samples(spark, d))
+
+
+@query
+def latency_percentiles(spark, d):
+    return measure.exact_percentiles(samples(spark, d), [50, 90, 99, 100])
+
+
+@query
+def histogram_percentiles(spark, d):
+    return measure.histogram_percentiles(measure.histogram(samples(spark, d)), [50.0, 90.0, 99.0])
+
+
+@query
+def tail_taxonomy(spark, d):
+    return measure.tail_causes(samples(spark, d), 2700)
+
+
+@query
+def theil_sen(spark, d):
+    rows = tables(spark, d, "events").where("event_id < 256").select(F.col("event_id").alias("i"), F.expr("unix_micros(cast(ts AS timestamp)) div 1000").alias("x"), (F.col("event_id") * 1000).alias("y"))
+    return measure.theil_sen(rows).select(F.round(F.col("slope") * 1_000_000).cast("bigint").alias("slope_micro"), F.col("n").cast("bigint").alias("n"))
+
+
+@query
+def top_locates(spark, d):
+    rows = book(spark, d)[1].groupBy("locate").agg(F.sum(F.abs("db") + F.abs("da")).cast("bigint").alias("volume"))
+    return rows.orderBy(F.col("volume").desc(), "locate").limit(10)
+
+
+@query
+def bit_pack(spark, d):
+    packed = F.shiftleft("event_id", 32).bitwiseOR(F.shiftleft(F.col("user_id").bitwiseAND(65535), 16)).bitwiseOR(F.col("event_id") % 10)
+    p = F.col("packed")
+    return tables(spark, d, "events").select("event_id", packed.alias("packed")).select(
+        "event_id", "packed", F.shiftrightunsigned(p, 32).alias("off"), F.shiftrightunsigned(p, 16).bitwiseAND(65535).alias("len"), p.bitwiseAND(65535).alias("cnt")
+    )
+
+
+@query
+def tape_audit(spark, d):
+    """Messages as length-prefixed tape files, one for each part, read back through the binary reader."""
+    from pyspark.sql import types as T
+
+    folder = shared(spark)
+    blocks = F.concat(big_endian(F.length("msg"), 2), F.col("msg"))
+    rows = _book_messages(spark, d).select(F.expr("pos div 20000").alias("part"), "pos", blocks.alias("b"))
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        system, top = pafs.FileSystem.from_uri(folder)
+        system.create_dir(top, recursive=True)
+        part, out, n = None, None, 0
+        for batch in batches:
+            for own, b in zip(batch.column("part").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                if own != part:
+                    if out:
+                        out.close()
+                    part, out = own, system.open_output_stream(f"{top}/part-{own:05d}.tape")
+                out.write(b)
+                n += 1
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows.repartition("part").sortWithinPartitions("part", "pos").mapInArrow(run, T.StructType([T.StructField("n", T.LongType())])).agg(F.sum("n")).collect()
+    return wire.audit(wire.read_tape(spark, folder)).where("error IS NULL").select("type", "n")
+
+
+@query
+def golden_fnv(spark, d):
+    rows = _book_messages(spark, d).select((F.expr("pos div 5000")).alias("part"), "pos", "msg")
+    return folds.sequential(rows, ["part"])
+
+
+@query
+def span_crc(spark, d):
+    m = _book_messages(spark, d).join(D.book_tape(spark, d).select("pos", "locate"), "pos")
+    return venue.span_records(m).select("pos", "slot", "window", "v", "c", "deg")
+
+
+@query
+def rot_fold(spark, d):
+    return folds.rotate_fold(D.book_tape(spark, d).select("pos", F.col("order_ref").alias("v")))
+
+
+@query
+def spanhash_fold(spark, d):
+    return folds.ring_fold(folds.ring_terms(_book_messages(spark, d)).withColumn("chunk", F.expr("(pos - 1) div 512")), "chunk")
+
+
+@query
+def day_chain(spark, d):
+    records = venue.digest(venue.window_records(book(spark, d)[1]), "slot", "window").withColumn("hash", venue.digest_hash())
+    return folds.chain(records)
+
+
+@query
+def state_digest(spark, d):
+    return B.state_digest(book(spark, d)[1])
+
+
+@query
+def stream_arbitrate(spark, d):
+    folder = shared(spark)
+    frames = D.encoded_feed(spark, d).withColumn("tape", F.lit("t"))
+    frames.coalesce(1).write.parquet(f"{folder}/frames")  # one file is one micro-batch; batches come in arrival order
+    stream = spark.readStream.schema(frames.schema).parquet(f"{folder}/frames")
+    rows = windows.run_to_end(sequencer.stream(stream), folder)
+    return rows.where("event = 'Message'").select(F.col("a").alias("seq"), "arrival")
+
+
+@query
+def stream_tumbling_counts(spark, d):
+    rows = windows.run_to_end(windows.tumbling_counts(windows.read_events(spark, d)), shared(spark), "complete")
+    return rows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query
+def stream_session_gaps(spark, d):
+    rows = windows.run_to_end(windows.session_counts(windows.read_events(spark, d)), shared(spark), "complete")
+    return rows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-def flagship(spark, sf_dir):
-    return spark.range(1)
+@query
+def stream_distinct(spark, d):
+    return windows.run_to_end(windows.distinct_within(windows.read_events(spark, d), ["event_id"]), shared(spark)).select("event_id")
