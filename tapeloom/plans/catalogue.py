@@ -317,7 +317,7 @@ def slot_windows(spark, d):
 @query
 def trigger_reads(spark, d):
     pubs = D.publications(spark, d)
-    return venue.trigger_reads(D.triggers(pubs), pubs).select("slot", "window", "w_prime", "claim", "read", "base_ns")
+    return venue.trigger_reads(D.triggers(pubs), pubs).select("slot", "window", "w_prime", "claim", "read", F.expr("base_ns div 1000").alias("base_us"))
 
 
 @query

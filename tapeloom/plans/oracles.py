@@ -180,7 +180,7 @@ SQL = {
         TOKENS, 'SELECT (pos - 1) // 512 AS "window", bit_xor(xor(pos * 2654435761, px)) AS v, bit_xor(pos * 40503 + locate) AS c, CAST(sum(db) AS BIGINT) AS db, CAST(sum(da) AS BIGINT) AS da, CAST(sum(length(type)) AS BIGINT) AS deg, count(*) AS cnt FROM tok GROUP BY 1'
     ),
     "slot_windows": q(TOKENS, f'SELECT {SLOT} AS slot, (pos - 1) // 512 AS "window", bit_xor(xor(pos * 2654435761, px)) AS v, CAST(sum(db) AS BIGINT) AS db, CAST(sum(da) AS BIGINT) AS da, count(*) AS cnt FROM tok GROUP BY 1, 2'),
-    "trigger_reads": q(PUBS, 'SELECT slot, "window", CAST(w_prime AS INTEGER) AS w_prime, claim, read, base_ns FROM rd'),
+    "trigger_reads": q(PUBS, 'SELECT slot, "window", CAST(w_prime AS INTEGER) AS w_prime, claim, read, base_ns // 1000 AS base_us FROM rd'),
     "phantom_verdicts": q(
         PUBS,
         """SELECT slot, "window", CASE WHEN base_ns IS NULL THEN 'stale' WHEN arrival_ns < greatest(0, base_ns + abs(slot - reader) * 1000 - 10000) THEN 'early' WHEN claim <> read THEN 'fabricated' WHEN depth > 16 THEN 'deep' ELSE 'ok' END AS verdict,
