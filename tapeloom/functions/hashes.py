@@ -158,3 +158,32 @@ def splitmix(state: int):
         z = ((state ^ (state >> 30)) * 0xBF58476D1CE4E5B9) & MASK
         z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & MASK
         yield z ^ (z >> 31)
+
+
+def crc_shift(crc: int, n: int) -> int:
+    """The raw CRC32C register after n zero bytes."""
+    return crc_update(crc, bytes(n)) if n < 64 else _crc_power(crc, n)
+
+
+def _crc_power(crc: int, n: int) -> int:
+    columns = [crc_update(1 << k, b"\0") for k in range(32)]  # the register is linear over bits
+    while n:
+        if n & 1:
+            crc = _apply(columns, crc)
+        columns = [_apply(columns, c) for c in columns]
+        n >>= 1
+    return crc
+
+
+def _apply(columns: list[int], x: int) -> int:
+    out, k = 0, 0
+    while x:
+        if x & 1:
+            out ^= columns[k]
+        x, k = x >> 1, k + 1
+    return out
+
+
+def crc_between(before: int, after: int, n: int) -> int:
+    """The raw register of the n bytes between two cumulative registers that both started at 0."""
+    return after ^ crc_shift(before, n)

@@ -126,7 +126,7 @@ def itch_validate_classes(spark, d):
 def type_histogram(spark, d):
     from pyspark.sql import Window
 
-    rows = D.book_tape(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    rows = D.book_rows(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.withColumn("total", F.sum("n").over(Window.partitionBy()))  # one row for each type
     return rows.select("type", "n", F.expr("(20000 * n + total) div (2 * total)").alias("basis_points"))
 
@@ -289,7 +289,7 @@ def lob_window_states(spark, d):
 
 @query
 def best_price(spark, d):
-    return B.lob_events(D.book_tape(spark, d)).agg(F.max(F.when(F.col("kind") == "Add", F.col("px"))).alias("best_px"))
+    return B.lob_events(D.book_rows(spark, d).withColumn("pos", F.lit(0))).agg(F.max(F.when(F.col("kind") == "Add", F.col("px"))).alias("best_px"))
 
 
 @query

@@ -75,11 +75,13 @@ def _days(column: str) -> Column:
     return F.datediff(F.col(column).cast("date"), F.lit("1970-01-01").cast("date"))
 
 
+#: Order references per bucket of a day.
+REFS = 1_000_000
 BOOK = ["day", "kind", "order_ref", "new_ref", "type", "locate", "side", "q", "px", "printable"]
 
 
-def book_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order adds, executions, cancels, deletes and replaces with a position in the tape."""
+def book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order adds, executions, cancels, deletes and replaces, in no order yet."""
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
     none = lambda t: F.lit(None).cast(t)
     orders = tables(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_ref"), _days("o_orderdate").alias("day"), (F.col("o_custkey") % 64).cast("int").alias("locate"), cents("o_totalprice").alias("total"))
@@ -96,8 +98,13 @@ def book_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = none("bigint")
     replaces = later(40, 2, 7, "U", key, key + 10_000_000, 1 + key * 11 % 150).unionByName(later(60, 2, 21, "U", key + 10_000_000, key + 20_000_000, 1 + key * 11 % 150))
     deletes = later(80, 3, 5, "D", key, nothing, nothing)
-    rows = adds.unionByName(lines).unionByName(replaces).unionByName(deletes)
-    return numbered(rows.select(*BOOK), F.col("day"), [F.col(c).asc_nulls_first() for c in BOOK], "pos")
+    return adds.unionByName(lines).unionByName(replaces).unionByName(deletes).select(*BOOK)
+
+
+def book_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book's messages with their position in the tape. Buckets of the order are a day's references of one kind."""
+    bucket = F.struct("day", "kind", F.expr(f"order_ref div {REFS}").alias("part"))
+    return numbered(book_rows(spark, sf_dir), bucket, [F.col(c).asc_nulls_first() for c in BOOK], "pos")
 
 
 def encoded_book(tape: DataFrame) -> DataFrame:
