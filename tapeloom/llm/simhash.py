@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tapeloom.llm.common import LOWER_TABLE, Scratch, pieces, utf8
+from tapeloom.llm.common import LOWER_TABLE, Scratch, mix64, pieces, utf8
 from tapeloom.llm.graph import components
 
 BITS, SHARED, LIST, BLOCK = 4, 4, 2048, 1024
@@ -179,14 +179,169 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     scratch = Scratch(df.sparkSession, "simhash")
     rows = scratch.write(fingerprints(df, key, text, words, seed), "fingerprints")
     distinct = scratch.write(rows.groupBy("fp").agg(F.min("key").alias("least")), "classes")
-    found = components(links(distinct.select("fp"), scratch), scratch)
+    named = _named(distinct, links(distinct.select("fp"), scratch), scratch)
+    return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+
+
+def _named(distinct: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """fp and component_id of each class (fp, least), from links between fps."""
+    found = components(edges, scratch)
     labelled = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.write(labelled.join(names, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return scratch.write(labelled.join(names, "root").select("fp", "component_id"), "named")
+
+
+# --- Similar texts ------------------------------------------------------------------------------------------------
+#
+# Texts of a similarity of 0.8 differ in some tenth of their fingerprint bits, far more than 4 of 64. For them the same index
+# runs over LANES fingerprints side by side (32 byte positions): keys are LISTS triples of positions, drawn once, the tally
+# asks for the shared bytes, and the verified number of differing bits is the one that the similarity stands for.
+
+LANES, LISTS = 4, 160
+_POSITIONS = 8 * LANES
+SETS = np.array([p[:3] for p in (np.random.default_rng(n).permutation(_POSITIONS) for n in range(LISTS))])
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of LANES fingerprints of two sets of this Jaccard similarity: the expected number and one standard
+    deviation more, so that some five in six pairs at just this similarity qualify, and nearly all above it."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(64 * LANES * share + (64 * LANES * share * (1 - share)) ** 0.5))
+
+
+def wide_fingerprint(text: bytes, words: int = 5, seed: int = 42) -> bytes:
+    """LANES independent fingerprints of the set of the text's shingles."""
+    own = text.translate(LOWER_TABLE).split()
+    if not own:
+        return bytes(_POSITIONS)
+    flat = b" ".join(own)
+    ends = np.cumsum([len(w) + 1 for w in own])
+    n = max(1, len(own) - words + 1)
+    starts, stops = [0, *ends[: n - 1].tolist()], (ends[min(words, len(own)) - 1 :] - 1).tolist()
+    h = np.unique(np.array([xxh64_intdigest(flat[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64))
+    return b"".join(np.packbits(2 * set_bits(mix64(h, lane).astype(">u8")) > len(h)).tobytes() for lane in range(LANES))
+
+
+def _wide_near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Which of a (m, LANES) qualify with which of b (n, LANES)."""
+    x = a[:, None, :] ^ b[None, :, :]
+    tally = (x.view(np.uint8).reshape(len(a), len(b), _POSITIONS) == 0).sum(2, dtype=np.uint8)
+    out = tally >= SETS.shape[1]
+    out[out] = np.bitwise_count(x[out]).sum(1, dtype=np.int64) <= bits
+    return out
+
+
+def _wide_forest(nodes: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
+    """Links (pairs of nodes) that connect what the qualifying pairs connect."""
+    near = np.concatenate([_wide_near(fps[i : i + 64], fps, bits) for i in range(0, len(fps), 64)])
+    left, out = np.ones(len(fps), bool), []
+    for root in range(len(fps)):
+        if left[root]:
+            front = np.zeros(len(fps), bool)
+            front[root] = True
+            while front.any():
+                left &= ~front
+                front = near[front].any(0) & left
+                out += [(root, i) for i in np.flatnonzero(front).tolist()]
+    return nodes[np.array(out, np.int64).reshape(-1, 2)]
+
+
+WIDE = "a bigint, b bigint, list bigint, wide binary"  # a link, or (list set) a member b of a list that is too long here
+
+
+def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (list, node) sorted by list: those of lists with two members or more."""
+    last, kept = None, True  # the row before, and whether it has been given
+    for t in batches:
+        if not t.num_rows:
+            continue
+        lists = t.column("list").to_numpy()
+        same = np.append(last is not None and lists[0] == last.column("list")[0].as_py(), lists[1:] == lists[:-1])
+        if same[0] and not kept:
+            yield last
+        member = same | np.append(same[1:], False)
+        yield t.filter(pa.array(member))
+        last, kept = t.slice(t.num_rows - 1), bool(member[-1])
+
+
+def _wide_lists(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, long, nodes, fps = None, False, [], []
+
+        def batch(a, b, lists=None, wide=None):
+            n = len(a)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lists if lists is not None else [None] * n, pa.int64()), pa.array(wide if wide is not None else [None] * n, pa.binary())], names=["a", "b", "list", "wide"])
+
+        def close():
+            if len(nodes) > 1:
+                found = _wide_forest(np.array(nodes), np.frombuffer(b"".join(fps), "<u8").reshape(-1, LANES), bits)
+                if len(found):
+                    yield batch(found[:, 0], found[:, 1])
+
+        for t in batches:
+            lists = t.column("list").to_numpy()
+            if not len(lists):
+                continue
+            cuts = np.flatnonzero(np.diff(lists)) + 1
+            starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(lists)]])
+            some = np.flatnonzero((stops - starts > 1) | (starts == 0) | (stops == len(lists)))
+            node, wide = t.column("node"), t.column("wide")
+            for a, b in zip(starts[some].tolist(), stops[some].tolist(), strict=True):
+                if lists[a] != key:
+                    yield from close()
+                    key, long, nodes, fps = int(lists[a]), False, [], []
+                nodes += node.slice(a, b - a).to_pylist()
+                fps += wide.slice(a, b - a).to_pylist()
+                if long or len(nodes) > LIST:
+                    long = True
+                    yield batch(nodes, nodes, [key] * len(nodes), fps)
+                    nodes, fps = [], []
+        yield from close()
+
+    return run
+
+
+def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """key and component_id for each row of df: texts whose shingle sets have the similarity or more by their fingerprints."""
+    scratch, bits = Scratch(df.sparkSession, "simhash"), most_bits(similarity)
+
+    def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([wide_fingerprint(t, words) for t in utf8(batch.column("text"))], pa.binary())], names=["key", "wide"])
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2048):
+            own = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, _POSITIONS).astype(np.int64)
+            lists = np.arange(LISTS)[None, :] << 24 | own[:, SETS[:, 0]] << 16 | own[:, SETS[:, 1]] << 8 | own[:, SETS[:, 2]]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), LISTS))
+            yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), batch.column("fp").take(at)], names=["list", "node"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(fingerprint_rows, "key bigint, wide binary")
+    rows = scratch.write(rows.withColumn("fp", F.xxhash64("wide")), "fingerprints")
+    distinct = scratch.write(rows.groupBy("fp").agg(F.min("key").alias("least"), F.any_value("wide").alias("wide")), "classes")
+    posted = distinct.select("fp", "wide").mapInArrow(postings, "list bigint, node bigint")
+    shared = scratch.write(posted.repartition("list").sortWithinPartitions("list").mapInArrow(_shared_lists, "list bigint, node bigint"), "shared")
+    scratch.release()
+    # Only members of shared lists carry their fingerprints.
+    met = shared.join(distinct.select(F.col("fp").alias("node"), "wide"), "node").select("list", "node", "wide")
+    found = scratch.write(met.repartition("list").sortWithinPartitions("list", "node").mapInArrow(_wide_lists(bits), WIDE), "links")
+    scratch.release()
+    edges, long = found.where("list IS NULL").select("a", "b"), found.where("list IS NOT NULL").select("list", F.col("b").alias("fp"), "wide")
+    if not long.isEmpty():
+        sizes = long.groupBy("list").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("n"))
+        blocks = long.join(sizes, "list").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("n")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
+
+        def pairs(t: pa.Table) -> pa.Table:
+            links_ = _wide_forest(t.column("fp").to_numpy(), np.frombuffer(b"".join(t.column("wide").to_pylist()), "<u8").reshape(-1, LANES), bits)
+            return pa.table({"a": links_[:, 0], "b": links_[:, 1]})
+
+        dealt = blocks.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "wide")
+        edges = edges.unionAll(dealt.groupBy("list", "i", "j").applyInArrow(pairs, "a bigint, b bigint"))
+    named = _named(distinct.select("fp", "least"), edges.distinct(), scratch)
+    return rows.join(named, "fp").select(F.col("key").alias(key), "component_id")
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """The rows of df that stay: those that name their component."""
-    stay = near_groups(df, key, text, words).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key")).distinct()
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of df that stay: those that name their component of similar texts."""
+    stay = similar_groups(df, key, text, words, similarity).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key")).distinct()
     return df.join(stay, F.col(key).eqNullSafe(F.col("_key")), "left_semi")

@@ -97,10 +97,51 @@ def test_components_of_a_chain_and_a_star(spark):
     assert {(r.node, r.root) for r in found.collect()} == {(i, 0) for i in range(61)} | {(i, 100) for i in range(100, 150)}
 
 
-def test_near_dedup_keeps_one_of_each_group(spark, small):
-    frame = spark.read.parquet(f"{small}/documents.parquet")
-    kept = [r.doc_id for r in simhash.dedup(frame, words=4).collect()]
-    assert sorted(kept) == sorted({r.component_id for r in simhash.near_groups(frame).collect()})
+def edited(rnd, words, n):
+    out = list(words)
+    for at in rnd.sample(range(len(out)), n):
+        out[at] = f"new{rnd.randrange(10**6)}"
+    return out
+
+
+def test_similar_texts_meet_and_others_do_not(spark):
+    rnd, rows = random.Random(8), []
+    for i in range(60):
+        base = [f"w{rnd.randrange(4000)}" for _ in range(300)]
+        rows += [(i * 10, " ".join(base)), (i * 10 + 1, " ".join(edited(rnd, base, 4))), (i * 10 + 2, " ".join(edited(rnd, base, 60)))]
+    rows += [(9001, "one two"), (9002, "ONE  two"), (9003, ""), (9004, None), (9005, "two one")]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(got[i * 10 + 1] == i * 10 for i in range(60)) >= 57  # similarity about 0.87
+    assert all(got[i * 10 + 2] == i * 10 + 2 for i in range(60))  # about 0.2
+    assert (got[9001], got[9002], got[9003], got[9004], got[9005]) == (9001, 9001, 9003, 9003, 9005)
+
+
+def test_near_dedup_keeps_one_of_each_group(spark, small, empty, edge):
+    for folder in (small, edge, empty):
+        frame = spark.read.parquet(f"{folder}/documents.parquet")
+        kept = {r.doc_id for r in simhash.dedup(frame).collect()}
+        assert kept == {r.component_id for r in simhash.similar_groups(frame).collect()}
+
+
+@pytest.mark.parametrize("cut", [1, 2, 5])
+def test_shared_lists_across_batches(cut):
+    import pyarrow as pa
+
+    lists = [1, 2, 2, 3, 4, 4, 4, 5, 6, 6]
+    t = pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(range(10), pa.int64())], names=["list", "node"])
+    out = pa.Table.from_batches(simhash._shared_lists(t.slice(a, cut) for a in range(0, 10, cut)))
+    assert out.column("node").to_pylist() == [1, 2, 4, 5, 6, 8, 9]
+
+
+def test_wide_forest_connects_what_pairs_connect():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (6, simhash.LANES), dtype=np.uint64)
+    fps = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, (6, simhash.LANES), dtype=np.uint64)) for _ in range(5)])
+    bits, nodes = 8, np.arange(len(fps)) + 100
+    found = simhash._wide_forest(nodes, fps, bits)
+    near = simhash._wide_near(fps, fps, bits)
+    same = lambda r: {frozenset(i for i in range(len(r)) if r[i] == x) for x in set(r)}
+    assert same(union(len(fps), [(a - 100, b - 100) for a, b in found.tolist()])) == same(union(len(fps), list(zip(*np.nonzero(near), strict=True))))
 
 
 def test_op6_on_held_out_rows(spark):
