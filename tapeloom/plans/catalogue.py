@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Callable
 
@@ -40,7 +42,9 @@ def shared(spark: SparkSession) -> str:
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints/tapeloom"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/engine-{uuid.uuid4().hex[:12]}"
+    folder = f"{top.rstrip('/')}/engine-{uuid.uuid4().hex[:12]}"
+    atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)  # where it is a path; stores have their own rules
+    return folder
 
 
 def feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
