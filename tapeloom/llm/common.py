@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -38,6 +40,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+        if self.root.startswith(f"file://{LOCAL_CHECKPOINTS}/"):
+            atexit.register(shutil.rmtree, self.root.removeprefix("file://"), ignore_errors=True)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
