@@ -18,6 +18,17 @@ WINDOW = 1024
 BUCKET = 4096
 
 
+def data(packets: DataFrame) -> DataFrame:
+    """packets without heartbeats (rows with beat set, whose first_seq is the next number they announce)."""
+    return packets.where("NOT beat") if "beat" in packets.columns else packets
+
+
+def with_heartbeats(packets: DataFrame, beats: DataFrame) -> DataFrame:
+    """Data packets and heartbeats (arrival, feed, session_epoch, next_seq) as one relation: only gap evidence comes from beats."""
+    rows = beats.select("arrival", "feed", "session_epoch", F.col("next_seq").alias("first_seq"), (F.col("next_seq") - 1).alias("last_seq"), F.lit(0).alias("count"), F.lit(True).alias("beat"))
+    return packets.select("arrival", "feed", "session_epoch", "first_seq", "last_seq", "count", F.lit(False).alias("beat")).unionByName(rows)
+
+
 def epochs(packets: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """packets plus session_epoch: how many times the session had changed by then."""
     order = Window.orderBy("arrival").partitionBy("_b")
@@ -32,13 +43,13 @@ def epochs(packets: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def first_arrivals(packets: DataFrame) -> DataFrame:
     """session_epoch, seq, first_arrival: the union of the feeds without duplicates, the first received copy counts."""
-    rows = messages_of(packets, "session_epoch", "arrival")
+    rows = messages_of(data(packets), "session_epoch", "arrival")
     return rows.groupBy("session_epoch", "seq").agg(F.min("arrival").alias("first_arrival"))
 
 
 def anchors(packets: DataFrame) -> DataFrame:
     """session_epoch, anchor: the first sequence number of the session's first data packet."""
-    return packets.groupBy("session_epoch").agg(F.min_by("first_seq", "arrival").alias("anchor"))
+    return data(packets).groupBy("session_epoch").agg(F.min_by("first_seq", "arrival").alias("anchor"))
 
 
 def emitted(packets: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -55,7 +66,7 @@ def watermarks(packets: DataFrame, out: DataFrame | None = None, bucket: int = B
     out = emitted(packets) if out is None else out
     steps = out.groupBy("session_epoch", F.col("emit_arrival").alias("arrival")).agg(F.count(F.lit(1)).alias("_n"))
     rows = packets.join(steps, ["session_epoch", "arrival"], "left").join(anchors(packets), "session_epoch")
-    rows = running(rows, F.expr(f"arrival div {bucket}"), ["arrival"], ["session_epoch"], _sum=("sum", F.coalesce("_n", F.lit(0))), _first=("min", F.col("arrival")))
+    rows = running(rows, F.expr(f"arrival div {bucket}"), ["arrival"], ["session_epoch"], _sum=("sum", F.coalesce("_n", F.lit(0))), _first=("min", F.when(~F.col("beat"), F.col("arrival")) if "beat" in packets.columns else F.col("arrival")))
     after = F.col("anchor") + F.col("_sum")
     rows = rows.withColumns({"w_after": after, "w_before": F.when(F.col("_first") < F.col("arrival"), after - F.coalesce("_n", F.lit(0)))})
     return rows.drop("_n", "_sum", "_first", "anchor")
@@ -63,7 +74,7 @@ def watermarks(packets: DataFrame, out: DataFrame | None = None, bucket: int = B
 
 def classes(marked: DataFrame) -> DataFrame:
     """Watermarked packets plus class (duplicate, contiguous, ahead) and dup_msgs."""
-    w = F.coalesce("w_before", "first_seq")
+    marked, w = data(marked), F.coalesce("w_before", "first_seq")
     kind = F.when(F.col("last_seq") < w, "duplicate").when(F.col("first_seq") <= w, "contiguous").otherwise("ahead")
     dup = F.when(kind == "duplicate", F.col("count")).when(kind == "contiguous", w - F.col("first_seq")).otherwise(0)
     return marked.withColumns({"class": kind, "dup_msgs": dup.cast("bigint")})

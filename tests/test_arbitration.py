@@ -143,6 +143,29 @@ def test_closed_form_equals_the_sequencer(spark, bucket):
     assert A.conformance(A.eras(out, ev), bucket).count() == 0
 
 
+def test_heartbeats_in_the_closed_form(spark):
+    rnd = random.Random(21)
+    rows, beats, owns = [], [], []
+    for tape, sends in enumerate([r for r in schedules(rnd, 12) if r[0] == t] for t in range(12)):
+        own, k = Sequencer(), 0
+        for _, _, f, a, b in sends:
+            if rnd.random() < 0.3:
+                k += 1
+                beats.append((tape, k, f, x := rnd.randrange(1, 140)))
+                own.ingest(k, f, k, frame(x, 0))
+            k += 1
+            rows.append((tape, k, f, a, b, b - a + 1))
+            own.ingest(k, f, k, frame(a, b - a + 1))
+        owns.append(own)
+    packets = spark.createDataFrame(rows, "session_epoch int, arrival bigint, feed int, first_seq bigint, last_seq bigint, count int")
+    both = A.with_heartbeats(packets, spark.createDataFrame(beats, "session_epoch int, arrival bigint, feed int, next_seq bigint")).cache()
+    out = A.emitted(both).cache()
+    marked = A.watermarks(both, out).cache()
+    found = {(r.session_epoch, r.arrival, r.event, r["at"], r.ahead, r.gen) for r in A.gap_events(marked).collect()}
+    assert found == {(t, k, n, a, b, g) for t, own in enumerate(owns) for k, n, a, b, g, _ in own.out if n != "Message"}
+    assert A.classes(marked).count() == len(rows)
+
+
 def test_output_depends_on_the_delivered_set_alone(spark):
     rnd = random.Random(3)
     rows = [r for r in schedules(rnd, 1)]
