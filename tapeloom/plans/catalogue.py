@@ -14,7 +14,7 @@ from tapeloom.functions import itch
 from tapeloom.functions.binary import big_endian
 from tapeloom.operators import arbitrate as A
 from tapeloom.operators import book as B
-from tapeloom.operators import folds, measure, recovery, venue
+from tapeloom.operators import folds, lanes, measure, recovery, venue
 from tapeloom.plans import oracles
 from tapeloom.session import tables
 from tapeloom.sources import derived as D
@@ -228,6 +228,43 @@ def triple_equality(spark, d):
     return got.exceptAll(want).agg(F.count(F.lit(1)).alias("left_only")).crossJoin(want.exceptAll(got).agg(F.count(F.lit(1)).alias("right_only")))  # one row each
 
 
+@query
+def event_grammar(spark, d):
+    """Every opened gap is closed before the next one opens, and eras rise."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("session_epoch").orderBy("arrival", "event")  # control events, few
+    rows = A.gap_events(feed(spark, d)[2]).withColumns({"before": F.lag("event").over(order), "era": F.lag("gen").over(order)})
+    opened = F.col("event") == "GapOpened"
+    bad = (opened & (F.col("before") == "GapOpened")) | (~opened & (F.coalesce("before", F.lit("")) != "GapOpened")) | (F.col("era") > F.col("gen"))
+    return rows.agg(F.count(F.lit(1)).alias("n_events"), F.count_if(opened).alias("opened"), F.count_if(bad).alias("violations"))
+
+
+def spans(spark, d):
+    return D.packets(spark, d).select("pkt", (F.col("pkt") * 10 + F.col("count")).alias("end"), (F.col("pkt") * 10 + 1).alias("first_seq"), F.col("count").cast("bigint").alias("messages"))
+
+
+@query
+def lane_merge(spark, d):
+    rows = spans(spark, d)
+    return lanes.merged(rows.where("pkt % 2 = 0"), rows.where("pkt % 2 = 1")).select("lane", "end", "first_seq", "position")
+
+
+@query
+def lane_totals(spark, d):
+    rows = spans(spark, d).groupBy(F.expr("pkt div 7").alias("batch")).agg(F.count(F.lit(1)).alias("spans"), F.sum("messages").alias("messages"))
+    return lanes.totals_before(rows).select("batch", "spans_before", "messages_before")
+
+
+@query
+def valid_prefixes(spark, d):
+    pos = F.col("pos")
+    bad = F.when(pos % 13 == 0, F.concat(F.unhex(F.lit("4F")), F.col("msg"))).otherwise(F.col("msg"))
+    rows = _book_messages(spark, d).select(F.expr("pos div 16").alias("packet"), F.struct("pos", itch.error_class(bad).isNull().alias("ok")).alias("x"))
+    rows = rows.groupBy("packet").agg(F.sort_array(F.collect_list("x")).alias("x")).withColumn("valid", F.col("x.ok"))  # sixteen a packet
+    return rows.select("packet", lanes.valid_prefix().alias("prefix"))
+
+
 @query
 def seek_messages(spark, d):
     return D.book_tape(spark, d).where("pos BETWEEN 100 AND 199").select("pos", "type", "order_ref")

@@ -152,6 +152,14 @@ SQL = {
     "recovery_fixpoint": "SELECT event_id + 1 AS seq FROM events WHERE event_id <= (SELECT max(l) FROM (SELECT max(last_seq) - 1 AS l FROM (WITH " + FEED + " SELECT last_seq FROM fr)))",
     "conformance_check": q(FEED, "SELECT count(*) AS n_messages, CAST(0 AS BIGINT) AS violations FROM em"),
     "triple_equality": "SELECT CAST(0 AS BIGINT) AS left_only, CAST(0 AS BIGINT) AS right_only",
+    "event_grammar": q(
+        FEED,
+        """SELECT count(*) AS n_events, count(*) FILTER (event = 'GapOpened') AS opened, count(*) FILTER (event = 'GapOpened' AND before = 'GapOpened' OR event <> 'GapOpened' AND coalesce(before, '') <> 'GapOpened' OR era > gen) AS violations
+        FROM (SELECT *, lag(event) OVER (ORDER BY arrival, event) AS before, lag(gen) OVER (ORDER BY arrival, event) AS era FROM ev)""",
+    ),
+    "lane_merge": q(FEED, 'SELECT CAST(pkt % 2 AS INTEGER) AS lane, pkt * 10 + cnt AS "end", pkt * 10 + 1 AS first_seq, row_number() OVER (ORDER BY pkt * 10 + cnt, pkt % 2) AS position FROM p'),
+    "lane_totals": q(FEED, "SELECT batch, CAST(coalesce(sum(s) OVER w, 0) AS BIGINT) AS spans_before, CAST(coalesce(sum(m) OVER w, 0) AS BIGINT) AS messages_before FROM (SELECT pkt // 7 AS batch, count(*) AS s, sum(cnt) AS m FROM p GROUP BY 1) WINDOW w AS (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"),
+    "valid_prefixes": q(BOOK, "SELECT pos // 16 AS packet, CAST(coalesce(min(CASE WHEN pos % 13 = 0 THEN pos END) - min(pos), count(*)) AS INTEGER) AS prefix FROM t GROUP BY 1"),
     "seek_messages": q(BOOK, "SELECT pos, type, order_ref FROM t WHERE pos BETWEEN 100 AND 199"),
     "sampled_messages": q(BOOK, "SELECT pos, type FROM t WHERE pos % 256 = 0"),
     "book_tokens": q(TOKENS, "SELECT pos, type, locate, seq, px, db, da, anomaly, clamped FROM tok"),
