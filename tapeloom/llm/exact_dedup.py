@@ -12,7 +12,6 @@ decision; an empty table gives an empty result; other columns are left alone, cl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
