@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tapeloom.llm.common import Memo, list_array, pieces
 
 #: Pre-tokens whose ids a worker remembers at most, in each of two generations.
-MEMO = 450_000
+MEMO = 350_000
 
 
 _BIT = [1 << i for i in range(256)]
