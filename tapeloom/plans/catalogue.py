@@ -84,8 +84,10 @@ def request_encode(spark, d):
     return rows.select("from_seq", "count", F.hex(wire.request(F.lit(D.SESSION), F.col("from_seq"), F.col("count"))).alias("request"))
 
 
-def _book_messages(spark, d):
-    return D.encoded_book(D.book_tape(spark, d))
+def _book_messages(spark, d, *types: str):
+    """The book tape as bytes; of some types only, if named."""
+    tape = D.book_tape(spark, d)
+    return D.encoded_book(tape.where(F.col("type").isin(*types)) if types else tape)
 
 
 @query
@@ -96,12 +98,12 @@ def itch_decode_header(spark, d):
 
 @query
 def itch_decode_add(spark, d):
-    return itch.decode(_book_messages(spark, d), "A").select("pos", "order_ref", "side", "shares", "price", "stock")
+    return itch.decode(_book_messages(spark, d, "A"), "A").select("pos", "order_ref", "side", "shares", "price", "stock")
 
 
 @query
 def itch_decode_exec(spark, d):
-    m = _book_messages(spark, d)
+    m = _book_messages(spark, d, "E", "C")
     e, c = itch.decode(m, "E"), itch.decode(m, "C")
     names = ["pos", "type", "order_ref", "shares", "match_number", "printable", "price"]
     return e.withColumns({"printable": F.lit(None).cast("string"), "price": F.lit(None).cast("bigint")}).select(names).unionByName(c.select(names))
@@ -109,13 +111,13 @@ def itch_decode_exec(spark, d):
 
 @query
 def itch_decode_cancel_delete(spark, d):
-    m = _book_messages(spark, d)
+    m = _book_messages(spark, d, "X", "D")
     return itch.decode(m, "X").select("pos", "type", "order_ref", "shares").unionByName(itch.decode(m, "D").select("pos", "type", "order_ref", F.lit(None).cast("bigint").alias("shares")))
 
 
 @query
 def itch_decode_replace(spark, d):
-    return itch.decode(_book_messages(spark, d), "U").select("pos", "order_ref", "new_ref", "shares", "price")
+    return itch.decode(_book_messages(spark, d, "U"), "U").select("pos", "order_ref", "new_ref", "shares", "price")
 
 
 @query
