@@ -195,10 +195,16 @@ def _named(distinct: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame
 #
 # Texts of a similarity of 0.8 differ in some tenth of their fingerprint bits, far more than 4 of 64. For them the same index
 # runs over LANES fingerprints side by side (32 byte positions): keys are LISTS triples of positions, drawn once, the tally
-# asks for the shared bytes, and the verified number of differing bits is the one that the similarity stands for.
+# asks for the shared bytes, and the number of differing bits is the one that the similarity stands for.
+#
+# Fingerprints only say which texts to compare. Candidates connected in any way are a cluster; inside it the shingle sets
+# themselves are compared, all pairs that are not connected already, and only a Jaccard similarity that is reached is a link.
+# Texts of equal sets are one class.
 
 LANES, LISTS = 4, 160
 _POSITIONS = 8 * LANES
+#: Bytes of shingle sets in a block of a cluster, about (BLOCK members at most).
+SET_BYTES = 4 << 20
 SETS = np.array([p[:3] for p in (np.random.default_rng(n).permutation(_POSITIONS) for n in range(LISTS))])
 
 
@@ -209,19 +215,35 @@ def most_bits(similarity: float) -> int:
     return int(np.ceil(64 * LANES * share + (64 * LANES * share * (1 - share)) ** 0.5))
 
 
-def wide_fingerprint(text: bytes, words: int = 5, seed: int = 42) -> bytes:
-    """LANES independent fingerprints of the set of the text's shingles."""
+def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles."""
     own = text.translate(LOWER_TABLE).split()
     if not own:
-        return bytes(_POSITIONS)
+        return np.zeros(0, np.uint64)
     flat = b" ".join(own)
     ends = np.cumsum([len(w) + 1 for w in own])
     n = max(1, len(own) - words + 1)
     starts, stops = [0, *ends[: n - 1].tolist()], (ends[min(words, len(own)) - 1 :] - 1).tolist()
-    h = np.unique(np.array([xxh64_intdigest(flat[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64))
+    return np.unique(np.array([xxh64_intdigest(flat[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64))
+
+
+def set_name(h: np.ndarray) -> int:
+    """A signed 64-bit hash of a set of shingles."""
+    return int(np.uint64(xxh64_intdigest(h.astype("<u8").tobytes())).view(np.int64))
+
+
+def wide_of(h: np.ndarray) -> bytes:
+    """LANES independent fingerprints of a set of shingles."""
+    if not len(h):
+        return bytes(_POSITIONS)
     return b"".join(np.packbits(2 * set_bits(mix64(h, lane).astype(">u8")) > len(h)).tobytes() for lane in range(LANES))
 
 
+def wide_fingerprint(text: bytes, words: int = 5, seed: int = 42) -> bytes:
+    """LANES independent fingerprints of the set of the text's shingles."""
+    return wide_of(shingles(text, words, seed))
+
+
 def _wide_near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     """Which of a (m, LANES) qualify with which of b (n, LANES)."""
     x = a[:, None, :] ^ b[None, :, :]
@@ -301,13 +323,66 @@ def _wide_lists(bits: int):
     return run
 
 
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Links (pairs of positions) that connect what the pairs of sets of this Jaccard similarity or more connect."""
+    sizes = np.array([len(h) for h in sets], np.int64)
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, stops = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes)
+    every, left, marked, out = flat, np.ones(len(sets), bool), np.zeros(len(words), bool), []
+    for root in range(len(sets)):
+        front = [root] if left[root] else []
+        left[root] = False
+        while front:
+            i = front.pop()
+            own = every[stops[i] - sizes[i] : stops[i]]
+            marked[own] = True
+            shared = np.bincount(owner[marked[flat]], minlength=len(sets))
+            marked[own] = False
+            found = np.flatnonzero(left & (shared > 0) & (shared / np.maximum(sizes[i] + sizes - shared, 1) >= similarity)).tolist()
+            out += [(i, j) for j in found]
+            left[found] = False
+            front += found
+            if 2 * sizes[left].sum() < len(flat):  # who is connected need not be looked at again
+                stay = left[owner]
+                flat, owner = flat[stay], owner[stay]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _alike_in(clusters: DataFrame, docs: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that connect what the pairs of the similarity or more connect in each cluster (node, root, least: a key of the node's texts)."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = [shingles(t, words) for t in utf8(batch.column("text"))]
+            # Another text under the same key is another class.
+            own = [n for n, (h, node) in enumerate(zip(sets, batch.column("node").to_pylist(), strict=True)) if set_name(h) == node]
+            some = batch.take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column("node"), some.column("root"), pa.array([sets[n].astype("<u8").tobytes() for n in own], pa.binary())], names=["node", "root", "set"])
+
+    met = docs.join(clusters, F.col("key").eqNullSafe(F.col("least"))).select("text", "node", "root")
+    sets = met.mapInArrow(sets_of, "node bigint, root bigint, set binary").groupBy("node", "root").agg(F.any_value("set").alias("set"))
+    sets = scratch.write(sets, "sets")
+    # Clusters too large for a task: pairs of blocks, each pair a group.
+    n = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("set")) / SET_BYTES)).cast("int")
+    rows = sets.join(sets.groupBy("root").agg(F.greatest(n, F.lit(1)).alias("n")), "root").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("n")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, n - 1)"))).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "set")
+
+    def pairs(t: pa.Table) -> pa.Table:
+        nodes = t.column("node").to_numpy()
+        found = alike([np.frombuffer(x, "<u8") for x in t.column("set").to_pylist()], similarity)
+        return pa.table({"a": nodes[found[:, 0]], "b": nodes[found[:, 1]]})
+
+    return rows.groupBy("root", "i", "j").applyInArrow(pairs, "a bigint, b bigint")
+
+
 def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """key and component_id for each row of df: texts whose shingle sets have the similarity or more by their fingerprints."""
+    """key and component_id for each row of df: texts connected by pairs whose shingle sets have the similarity or more."""
     scratch, bits = Scratch(df.sparkSession, "simhash"), most_bits(similarity)
 
     def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([wide_fingerprint(t, words) for t in utf8(batch.column("text"))], pa.binary())], names=["key", "wide"])
+            sets = [shingles(t, words) for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(map(set_name, sets), pa.int64()), pa.array(map(wide_of, sets), pa.binary())], names=["key", "fp", "wide"])
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2048):
@@ -316,8 +391,8 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
             at = pa.array(np.repeat(np.arange(batch.num_rows), LISTS))
             yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), batch.column("fp").take(at)], names=["list", "node"])
 
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(fingerprint_rows, "key bigint, wide binary")
-    rows = scratch.write(rows.withColumn("fp", F.xxhash64("wide")), "fingerprints")
+    docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = scratch.write(docs.mapInArrow(fingerprint_rows, "key bigint, fp bigint, wide binary"), "fingerprints")
     distinct = scratch.write(rows.groupBy("fp").agg(F.min("key").alias("least"), F.any_value("wide").alias("wide")), "classes")
     posted = distinct.select("fp", "wide").mapInArrow(postings, "list bigint, node bigint")
     shared = scratch.write(posted.repartition("list").sortWithinPartitions("list").mapInArrow(_shared_lists, "list bigint, node bigint"), "shared")
@@ -337,7 +412,10 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
 
         dealt = blocks.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "wide")
         edges = edges.unionAll(dealt.groupBy("list", "i", "j").applyInArrow(pairs, "a bigint, b bigint"))
-    named = _named(distinct.select("fp", "least"), edges.distinct(), scratch)
+    clusters = scratch.write(components(edges.distinct(), scratch, "near").join(distinct.select(F.col("fp").alias("node"), "least"), "node"), "clusters")
+    alike = scratch.write(_alike_in(clusters, docs, words, similarity, scratch), "alike")
+    scratch.release()
+    named = _named(distinct.select("fp", "least"), alike, scratch)
     return rows.join(named, "fp").select(F.col("key").alias(key), "component_id")
 
 

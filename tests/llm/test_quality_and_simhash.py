@@ -116,6 +116,42 @@ def test_similar_texts_meet_and_others_do_not(spark):
     assert (got[9001], got[9002], got[9003], got[9004], got[9005]) == (9001, 9001, 9003, 9003, 9005)
 
 
+def tails(rnd, n, other):
+    """A text of n words and one whose last words are others: of n - 4 shingles, n - 4 - other are shared."""
+    base = [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    return " ".join(base), " ".join(base[: n - other] + [f"v{rnd.randrange(4000)}" for _ in range(other)])
+
+
+def test_no_link_below_the_similarity(spark):
+    rnd, rows = random.Random(12), []
+    for i in range(80):
+        one, two = tails(rnd, 304, 34 + i % 8)  # similarity 0.796 to 0.760
+        rows += [(i * 10, one), (i * 10 + 1, two)]
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == 160 and all(r.doc_id == r.component_id for r in got)
+
+
+def test_alike_connects_what_pairs_connect():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, (8, 60), dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[i % 8][rng.random(60) < 0.93], rng.integers(0, 2**63, 3, dtype=np.uint64)])) for i in range(120)]
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    want = [(i, j) for i in range(120) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    found = simhash.alike(sets, 0.8).tolist()
+    same = lambda r: {frozenset(i for i in range(len(r)) if r[i] == x) for x in set(r)}
+    assert all(jaccard(sets[i], sets[j]) >= 0.8 for i, j in found) and same(union(120, found)) == same(union(120, want))
+
+
+@pytest.mark.parametrize("limit", [1024, 3])
+def test_clusters_of_any_size(spark, limit, monkeypatch):
+    """A chain: each text is similar to the next one only, so that a cluster's blocks must all meet."""
+    monkeypatch.setattr(simhash, "BLOCK", limit)
+    words = [f"w{random.Random(4).random()}-{i}" for i in range(700)]
+    rows = [(i, " ".join(words[30 * i : 30 * i + 304])) for i in range(13)]  # 0.818 with the next, 0.667 with the one after
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [r.component_id for r in got] == [0] * 13
+
+
 def test_near_dedup_keeps_one_of_each_group(spark, small, empty, edge):
     for folder in (small, edge, empty):
         frame = spark.read.parquet(f"{folder}/documents.parquet")
