@@ -193,18 +193,38 @@ def _named(distinct: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame
 
 # --- Similar texts ------------------------------------------------------------------------------------------------
 #
-# Texts of a similarity of 0.8 differ in some tenth of their fingerprint bits, far more than 4 of 64. For them the same index
-# runs over LANES fingerprints side by side (32 byte positions): keys are LISTS triples of positions, drawn once, the tally
-# asks for the shared bytes, and the number of differing bits is the one that the similarity stands for.
+# Texts of a similarity of 0.8 differ in some tenth of their fingerprint bits, far more than 4 of 64, and no affordable number of
+# byte positions leads all such pairs to a list. Candidates are texts that agree in one of BANDS keys instead, each of ROWS
+# least hashes of the shingle set under functions of their own: at similarity s a pair has no key in common with probability
+# (1 - s ** ROWS) ** BANDS, 5e-7 at 0.8 and less above.
 #
-# Fingerprints only say which texts to compare. Candidates connected in any way are a cluster; inside it the shingle sets
+# Keys only say which texts to compare. Candidates connected in any way are a cluster; inside it the shingle sets
 # themselves are compared, all pairs that are not connected already, and only a Jaccard similarity that is reached is a link.
 # Texts of equal sets are one class.
 
-LANES, LISTS = 4, 160
-_POSITIONS = 8 * LANES
+ROWS, BANDS = 6, 48
+_FLIP, _TIMES = np.random.default_rng(68).integers(0, 2**64, (2, ROWS * BANDS, 1), np.uint64)
+_TIMES |= np.uint64(1)
 #: Bytes of shingle sets in a block of a cluster, about (BLOCK members at most).
 SET_BYTES = 4 << 20
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """The BANDS keys of a set of shingles that is not empty."""
+    least = np.full(ROWS * BANDS, 2**64 - 1, np.uint64)
+    for at in range(0, len(h), 1024):
+        least = np.minimum(least, ((h[None, at : at + 1024] ^ _FLIP) * _TIMES).min(1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for own in least.reshape(ROWS, BANDS):
+        key = mix64(key ^ own)
+    return key.view(np.int64)
+
+
+# Wide fingerprints: an estimate of the similarity, LANES fingerprints side by side over the same kind of index (32 byte
+# positions, LISTS triples of them drawn once). They decide nothing in the stage below.
+
+LANES, LISTS = 4, 160
+_POSITIONS = 8 * LANES
 SETS = np.array([p[:3] for p in (np.random.default_rng(n).permutation(_POSITIONS) for n in range(LISTS))])
 
 
@@ -232,18 +252,14 @@ def set_name(h: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(h.astype("<u8").tobytes())).view(np.int64))
 
 
-def wide_of(h: np.ndarray) -> bytes:
-    """LANES independent fingerprints of a set of shingles."""
+def wide_fingerprint(text: bytes, words: int = 5, seed: int = 42) -> bytes:
+    """LANES independent fingerprints of the set of the text's shingles."""
+    h = shingles(text, words, seed)
     if not len(h):
         return bytes(_POSITIONS)
     return b"".join(np.packbits(2 * set_bits(mix64(h, lane).astype(">u8")) > len(h)).tobytes() for lane in range(LANES))
 
 
-def wide_fingerprint(text: bytes, words: int = 5, seed: int = 42) -> bytes:
-    """LANES independent fingerprints of the set of the text's shingles."""
-    return wide_of(shingles(text, words, seed))
-
-
 def _wide_near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     """Which of a (m, LANES) qualify with which of b (n, LANES)."""
     x = a[:, None, :] ^ b[None, :, :]
@@ -268,9 +284,6 @@ def _wide_forest(nodes: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
     return nodes[np.array(out, np.int64).reshape(-1, 2)]
 
 
-WIDE = "a bigint, b bigint, list bigint, wide binary"  # a link, or (list set) a member b of a list that is too long here
-
-
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (list, node) sorted by list: those of lists with two members or more."""
     last, kept = None, True  # the row before, and whether it has been given
@@ -286,41 +299,18 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         last, kept = t.slice(t.num_rows - 1), bool(member[-1])
 
 
-def _wide_lists(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, long, nodes, fps = None, False, [], []
-
-        def batch(a, b, lists=None, wide=None):
-            n = len(a)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lists if lists is not None else [None] * n, pa.int64()), pa.array(wide if wide is not None else [None] * n, pa.binary())], names=["a", "b", "list", "wide"])
-
-        def close():
-            if len(nodes) > 1:
-                found = _wide_forest(np.array(nodes), np.frombuffer(b"".join(fps), "<u8").reshape(-1, LANES), bits)
-                if len(found):
-                    yield batch(found[:, 0], found[:, 1])
-
-        for t in batches:
-            lists = t.column("list").to_numpy()
-            if not len(lists):
-                continue
-            cuts = np.flatnonzero(np.diff(lists)) + 1
-            starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(lists)]])
-            some = np.flatnonzero((stops - starts > 1) | (starts == 0) | (stops == len(lists)))
-            node, wide = t.column("node"), t.column("wide")
-            for a, b in zip(starts[some].tolist(), stops[some].tolist(), strict=True):
-                if lists[a] != key:
-                    yield from close()
-                    key, long, nodes, fps = int(lists[a]), False, [], []
-                nodes += node.slice(a, b - a).to_pylist()
-                fps += wide.slice(a, b - a).to_pylist()
-                if long or len(nodes) > LIST:
-                    long = True
-                    yield batch(nodes, nodes, [key] * len(nodes), fps)
-                    nodes, fps = [], []
-        yield from close()
-
-    return run
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (list, node) sorted by list: each member with the first of its list, which connects the list."""
+    last, hub = None, None
+    for t in batches:
+        if not t.num_rows:
+            continue
+        lists, nodes = t.column("list").to_numpy(), t.column("node").to_numpy()
+        new = np.append(lists[0] != last, lists[1:] != lists[:-1])
+        hubs = np.concatenate([[0 if hub is None else hub], nodes[new]]).astype(np.int64)[np.cumsum(new)]
+        last, hub = lists[-1], hubs[-1]
+        some = hubs != nodes
+        yield pa.RecordBatch.from_arrays([pa.array(hubs[some]), pa.array(nodes[some])], names=["a", "b"])
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -377,41 +367,26 @@ def _alike_in(clusters: DataFrame, docs: DataFrame, words: int, similarity: floa
 
 def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """key and component_id for each row of df: texts connected by pairs whose shingle sets have the similarity or more."""
-    scratch, bits = Scratch(df.sparkSession, "simhash"), most_bits(similarity)
+    scratch = Scratch(df.sparkSession, "simhash")
 
-    def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = [shingles(t, words) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(map(set_name, sets), pa.int64()), pa.array(map(wide_of, sets), pa.binary())], names=["key", "fp", "wide"])
+            bands = [band_keys(h).tobytes() if len(h) else None for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(map(set_name, sets), pa.int64()), pa.array(bands, pa.binary())], names=["key", "fp", "bands"])
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2048):
-            own = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, _POSITIONS).astype(np.int64)
-            lists = np.arange(LISTS)[None, :] << 24 | own[:, SETS[:, 0]] << 16 | own[:, SETS[:, 1]] << 8 | own[:, SETS[:, 2]]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), LISTS))
-            yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), batch.column("fp").take(at)], names=["list", "node"])
+            lists = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(lists), batch.column("fp").take(at)], names=["list", "node"])
 
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = scratch.write(docs.mapInArrow(fingerprint_rows, "key bigint, fp bigint, wide binary"), "fingerprints")
-    distinct = scratch.write(rows.groupBy("fp").agg(F.min("key").alias("least"), F.any_value("wide").alias("wide")), "classes")
-    posted = distinct.select("fp", "wide").mapInArrow(postings, "list bigint, node bigint")
-    shared = scratch.write(posted.repartition("list").sortWithinPartitions("list").mapInArrow(_shared_lists, "list bigint, node bigint"), "shared")
-    scratch.release()
-    # Only members of shared lists carry their fingerprints.
-    met = shared.join(distinct.select(F.col("fp").alias("node"), "wide"), "node").select("list", "node", "wide")
-    found = scratch.write(met.repartition("list").sortWithinPartitions("list", "node").mapInArrow(_wide_lists(bits), WIDE), "links")
+    rows = scratch.write(docs.mapInArrow(keyed, "key bigint, fp bigint, bands binary"), "keyed")
+    distinct = scratch.write(rows.groupBy("fp").agg(F.min("key").alias("least"), F.any_value("bands").alias("bands")), "classes")
+    posted = distinct.where("bands IS NOT NULL").select("fp", "bands").mapInArrow(postings, "list bigint, node bigint")
+    edges = scratch.write(posted.repartition("list").sortWithinPartitions("list").mapInArrow(_stars, "a bigint, b bigint"), "stars")
     scratch.release()
-    edges, long = found.where("list IS NULL").select("a", "b"), found.where("list IS NOT NULL").select("list", F.col("b").alias("fp"), "wide")
-    if not long.isEmpty():
-        sizes = long.groupBy("list").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("n"))
-        blocks = long.join(sizes, "list").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("n")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
-
-        def pairs(t: pa.Table) -> pa.Table:
-            links_ = _wide_forest(t.column("fp").to_numpy(), np.frombuffer(b"".join(t.column("wide").to_pylist()), "<u8").reshape(-1, LANES), bits)
-            return pa.table({"a": links_[:, 0], "b": links_[:, 1]})
-
-        dealt = blocks.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "wide")
-        edges = edges.unionAll(dealt.groupBy("list", "i", "j").applyInArrow(pairs, "a bigint, b bigint"))
     clusters = scratch.write(components(edges.distinct(), scratch, "near").join(distinct.select(F.col("fp").alias("node"), "least"), "node"), "clusters")
     alike = scratch.write(_alike_in(clusters, docs, words, similarity, scratch), "alike")
     scratch.release()

@@ -131,6 +131,38 @@ def test_no_link_below_the_similarity(spark):
     assert len(got) == 160 and all(r.doc_id == r.component_id for r in got)
 
 
+def test_every_pair_of_the_similarity_is_linked(spark):
+    rnd, rows = random.Random(13), []
+    for i in range(120):
+        one, two = tails(rnd, 304, 33 - i % 3)  # similarity 0.802 to 0.818
+        rows += [(i * 10, one), (i * 10 + 1, two)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i * 10] == got[i * 10 + 1] == i * 10 for i in range(120))
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_similar_groups_equal_brute_force(spark, folder):
+    frame = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    rows = sorted(frame.collect(), key=lambda r: r.doc_id)
+    sets = [set(simhash.shingles((r.text or "").encode()).tolist()) for r in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or not sets[i] and not sets[j]]
+    name = union(len(rows), pairs)
+    least = {}
+    for r, n in zip(rows, name, strict=True):
+        least.setdefault(n, r.doc_id)
+    assert pairs and {r.doc_id: r.component_id for r in simhash.similar_groups(frame).collect()} == {r.doc_id: least[n] for r, n in zip(rows, name, strict=True)}
+
+
+def test_band_keys_agree_as_often_as_the_similarity_says():
+    rng, n = np.random.default_rng(14), 400
+    agreed = np.zeros(simhash.BANDS)
+    for _ in range(n):
+        h = rng.integers(0, 2**63, 120, dtype=np.uint64)
+        agreed += simhash.band_keys(h[:110]) == simhash.band_keys(np.append(h[:98], h[110:]))  # 98 of 120
+    share, want = agreed / n, (98 / 120) ** simhash.ROWS
+    assert abs(share.mean() - want) < 0.02 and np.abs(share - want).max() < 0.12
+
+
 def test_alike_connects_what_pairs_connect():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**63, (8, 60), dtype=np.uint64)
