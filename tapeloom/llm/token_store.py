@@ -49,8 +49,9 @@ class WordEncoder:
     """Encodes texts with a tokenizer that lower-cases and drops white space, word by word with a memo.
 
     Such a tokenizer's ids of a text are those of its white-space-separated words in turn, so a word that is remembered
-    need not go through the library again. Only ASCII white space separates words here, and only A-Z is lower-cased
-    ahead; the library sees everything else. Words new to the memo go through it together where the word-end tokens
+    need not go through the library again. Only ASCII white space separates words here, and only words that are all ASCII
+    and hold no "<|" are lower-cased ahead: the library composes marks with capitals and finds its special tokens before it
+    lower-cases. It sees everything else as it is. Words new to the memo go through it together where the word-end tokens
     tell whose ids are whose, else one by one."""
 
     def __init__(self, path: str, dtype: str):
@@ -85,8 +86,14 @@ class WordEncoder:
                 found.update((w, self._ids(w.decode()).tobytes()) for w in some)
         return [found[w] for w in words]
 
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        if text.isascii() and b"<|" not in text:
+            return text.translate(LOWER_TABLE).split()
+        return [w.translate(LOWER_TABLE) if w.isascii() and b"<|" not in w else w for w in text.split()]
+
     def payloads(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.translate(LOWER_TABLE).split() for t in texts]
+        words = [self._words(t) for t in texts]
         get, missing = self.memo.rotate().get, set()
         found = []
         for own in words:

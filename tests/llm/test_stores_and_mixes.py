@@ -94,6 +94,18 @@ def test_op2(spark, request, which):
     assert Counter(tuple(r)[:4] for r in queries.op2_token_store(spark, folder).collect()) == want
 
 
+def test_op2_capitals_with_marks_and_special_tokens(spark, tmp_path):
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = ["H\u0331 J\u030c", "aT\u0308b W\u030a, Y\u030a", "<|ENDOFTEXT|>", "one<|StartOfText|>TWO", "<|endoftext|> X<|startoftext|>y", "\u00c9T\u00c9 E\u0301 \u0130 \u212a", "Plain WORDS, <| A |> THERE"]
+    spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    want, start = {}, 0
+    for i, text in enumerate(texts):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 1]
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op2_token_store(spark, str(tmp_path)).collect()} == want
+
+
 def test_op2_index_rejects_strangers(spark, small):
     scratch = Scratch(spark, "t")
     entries = token_store.write(spark.read.parquet(f"{small}/documents.parquet"), P.path("word_bpe_49k.json"), 49_408, 1, scratch)
