@@ -60,6 +60,15 @@ class Plain:
         return sum(math.log10(self.p(w, tuple(own[max(0, i - self.order + 1) : i]))) for i, w in enumerate(own))
 
 
+def test_the_order_three_query_uses_two_words_before(spark, small):
+    frame = spark.read.parquet(f"{small}/documents.parquet")
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    rows = frame.collect()
+    model = Plain([r.text for r in rows if not out(r.doc_id)], 3)
+    got = {r.doc_id: r.score for r in queries.op1_katz_order3(spark, small).collect()}
+    assert set(got) == {r.doc_id for r in rows} and all(got[r.doc_id] == pytest.approx(model.score(r.text), rel=1e-9) for r in rows)
+
+
 @pytest.mark.parametrize(("which", "order"), [("edge", 2), ("small", 2), ("small", 3), ("empty", 2), ("edge", 1)])
 def test_scores(spark, request, which, order, monkeypatch):
     folder = request.getfixturevalue(which)
