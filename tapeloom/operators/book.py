@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tapeloom.functions.ordering import running
 
 CHUNK = 512
-ROUNDS = 64
 
 
 def _rows(tape: DataFrame, dead: DataFrame | None) -> DataFrame:
@@ -46,9 +45,9 @@ def _lives(rows: DataFrame) -> DataFrame:
 
 
 def resolve(tape: DataFrame) -> DataFrame:
-    """Rows by reference with life, alive, rem and side. Few rounds; each is checkpointed."""
+    """Rows by reference with life, alive, rem and side. A round for each link of the longest dead chain; each is checkpointed."""
     dead, known = None, 0
-    for _ in range(ROUNDS):
+    while True:  # a round only adds to the dead, so this ends
         rows = _lives(_rows(tape, dead))
         now = rows.where("role = 0 AND type = 'U' AND NOT alive").select("pos").checkpoint()
         n = now.count()

@@ -167,3 +167,10 @@ def test_phantoms(spark):
     cases = [(0, 0, 1, 0, 1, 200_000, 5), (0, 0, 1, 9, 1, 200_000, 5), (0, 0, 1, 0, 1, 80_000, 5), (0, 0, 1, 0, 1, 90_000, 4), (0, 0, 1, 0, 17, 200_000, 5)]
     asked = spark.createDataFrame(cases, "slot int, reader int, window int, w_prime int, depth int, arrival_ns bigint, claim bigint")
     assert sorted(r.verdict for r in venue.verdicts(venue.trigger_reads(asked, pubs)).collect()) == ["deep", "early", "fabricated", "ok", "stale"]
+
+
+def test_dead_replacements_in_a_long_chain(spark, monkeypatch):
+    monkeypatch.setattr(book, "ROUNDS", 2, raising=False)
+    rows = [(i, "U", 1, None, 10, 100, None, i + 1, i + 2) for i in range(6)]  # the first one's order is unknown
+    tape = spark.createDataFrame(rows, "pos bigint, type string, locate int, side string, q bigint, px bigint, printable string, order_ref bigint, new_ref bigint")
+    assert not book.resolve(tape).where("role = 0 AND alive").count()
