@@ -5,7 +5,7 @@ for SPAN bytes are brought together first: the least hash of the ANCHOR-byte str
 and equal windows have equal marks. Consecutive windows with one mark form a piece of text. Marks that a single document
 holds can't matter; of the others each distinct piece goes to its mark's shard once for each block of documents, with the least key
 that has it there. A shard sorts the suffixes of its distinct pieces (induced.py: disk-backed queues, common prefixes
-carried along, shards beyond memory), and windows whose common prefix reaches SPAN form a group, whose least key decides.
+carried along, queues beyond memory; the rest of a shard is held in memory), and windows whose common prefix reaches SPAN form a group, whose least key decides.
 
 What moves are marks and distinct pieces, never pairs: copies of a passage meet as one piece, and its holders only compare
 their key with the group's least.
