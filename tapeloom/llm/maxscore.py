@@ -2,9 +2,8 @@
 
 A vector is a document whose terms are its dimensions; a posting's impact is the component. In a shard the postings of
 a dimension are held by their sign and kept in one dense block, with the dimension's largest and smallest impact. For a
-query, a dimension can add at most max(q * largest, q * smallest): sorted by that bound, the dimensions whose bounds
-together stay below the k-th best score so far (with the rest at their best) are non-essential. Essential postings are
-traversed first; a candidate is probed in the other dimensions, a few at a time, only while its score so far plus the
+query, a dimension can add at most max(q * largest, q * smallest). The STEP dimensions of the widest range are traversed
+for all rows, whatever bounds and threshold say (MaxScore's own split would follow them); a candidate is probed in the other dimensions, a few at a time, only while its score so far plus the
 bounds of what is left can still compete. Shards give k candidates per query, which are merged by score and id.
 
 Work is dealt as blocks: every shard of SHARD vectors meets every block of QUERIES queries in a task of its own.
