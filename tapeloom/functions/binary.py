@@ -56,9 +56,29 @@ def wrap(x: Column) -> Column:
     return F.when(m >= F.lit(TWO_63).cast("decimal(38,0)"), m - F.lit(TWO_64).cast("decimal(38,0)")).otherwise(m).cast("bigint")
 
 
+_PIECE, _BITS = (1 << 22) - 1, 22
+
+
+def sum_pieces(x: Column) -> list[Column]:
+    """A BIGINT as three numbers whose own sums can't overflow; joined_pieces makes the sum modulo 2^64 of their sums."""
+    return [x.bitwiseAND(_PIECE), F.shiftright(x, _BITS).bitwiseAND(_PIECE), F.shiftright(x, 2 * _BITS)]
+
+
+def joined_pieces(low: Column, middle: Column, high: Column) -> Column:
+    carried = middle + F.shiftright(low, _BITS)
+    top = high + F.shiftright(carried, _BITS)
+    return F.shiftleft(top, 2 * _BITS).bitwiseOR(F.shiftleft(carried.bitwiseAND(_PIECE), _BITS)).bitwiseOR(low.bitwiseAND(_PIECE))
+
+
 def wrapping_sum(x: Column) -> Column:
-    """Sum modulo 2^64 (an aggregate)."""
-    return wrap(F.sum(x.cast("decimal(20,0)")))
+    """Sum of BIGINTs modulo 2^64 (an aggregate)."""
+    return joined_pieces(*map(F.sum, sum_pieces(x)))
+
+
+def wrapping_times(a: Column, b: Column) -> Column:
+    """Product of two BIGINTs below 2^63 modulo 2^64."""
+    exact = a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+    return F.coalesce(F.try_multiply(a.cast("bigint"), b.cast("bigint")), wrap(exact))
 
 
 def leading_zeros(x: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -115,18 +118,130 @@ def span_lanes(body: bytes) -> int:
     return reduce(acc)
 
 
+def by_length(data: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of equal length together: their places, and their bytes as a matrix."""
+    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        yield at, np.frombuffer(b"".join([data[i] for i in at.tolist()]), np.uint8).reshape(len(at), size)
+
+
+def _crc_columns(register: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    for column in columns.T:
+        register = CRC_TABLE[(register ^ column) & np.uint32(255)] ^ (register >> np.uint32(8))
+    return register
+
+
+def crc_rows(data: list[bytes]) -> np.ndarray:
+    """The raw registers after each row, from 0."""
+    out = np.zeros(len(data), np.uint32)
+    for at, rows in by_length(data):
+        out[at] = _crc_columns(out[at], rows)
+    return out
+
+
+@functools.cache
+def _byte_tables(key: int) -> np.ndarray:
+    """Ring products with key, by byte of the other factor."""
+    return np.array([[mulmod(b << 8 * k, key) for b in range(256)] for k in range(8)], np.uint64)
+
+
+def times_key(a: np.ndarray, key: int) -> np.ndarray:
+    tables, out = _byte_tables(key), np.zeros(len(a), np.uint64)
+    for k in range(8):
+        out ^= tables[k][(a >> np.uint64(8 * k)) & np.uint64(255)]
+    return out
+
+
+def span_lanes_rows(data: list[bytes]) -> np.ndarray:
+    """span_lanes of each row."""
+    out = np.zeros(len(data), np.uint64)
+    for at, rows in by_length(data):
+        n, size = rows.shape
+        blocks = rows[:, : size // 64 * 64].reshape(n, -1, 8, 8)
+        lanes = [_crc_columns(np.zeros(n, np.uint32), blocks[:, :, k].reshape(n, -1)) for k in range(8)]
+        lanes[0] = _crc_columns(lanes[0], rows[:, size // 64 * 64 :])
+        terms = [lanes[2 * k].astype(np.uint64) | lanes[2 * k + 1].astype(np.uint64) << np.uint64(32) for k in range(4)]
+        for term, key in zip([*terms, np.full(n, size, np.uint64)], SPAN_KEYS, strict=True):
+            out[at] ^= times_key(term, key)
+    return out
+
+
+@functools.cache
+def _shift_tables(n: int) -> np.ndarray:
+    """The raw register after n zero bytes, by byte of the register before (it is linear over bits)."""
+    bits = [crc_shift(1 << k, n) for k in range(32)]
+    out = np.zeros((4, 256), np.uint32)
+    for k in range(32):
+        out[k // 8] ^= np.where(np.arange(256) >> (k % 8) & 1, np.uint32(bits[k]), np.uint32(0))
+    return out
+
+
+def crc_shift_array(registers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    distinct, at = np.unique(lengths, return_inverse=True)
+    tables = np.stack([_shift_tables(int(n)) for n in distinct]) if len(distinct) else np.zeros((1, 4, 256), np.uint32)
+    out = np.zeros(len(registers), np.uint32)
+    for k in range(4):
+        out ^= tables[at, k, (registers >> np.uint32(8 * k)) & np.uint32(255)]
+    return out
+
+
+def crc_between_array(before: np.ndarray, after: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """crc_between of each row."""
+    return after ^ crc_shift_array(before, lengths)
+
+
+def fnv_many(states: np.ndarray, streams: list[bytes]) -> np.ndarray:
+    """FNV states after each stream; streams go on side by side, a byte of each at a time."""
+    if len(streams) < 24:
+        return np.array([fnv(int(h), data) for h, data in zip(states, streams, strict=True)], np.uint64)
+    sizes = np.fromiter(map(len, streams), np.int64, len(streams))
+    order = np.argsort(-sizes, kind="stable")
+    longest = int(sizes.max(initial=0))
+    table = np.zeros((longest, len(streams)), np.uint64)
+    for n, i in enumerate(order.tolist()):
+        table[: sizes[i], n] = np.frombuffer(streams[i], np.uint8)
+    h, live = states[order].copy(), np.searchsorted(-sizes[order], -np.arange(longest), side="left")
+    prime = np.uint64(FNV_PRIME)
+    for k in range(longest):
+        n = live[k]
+        h[:n] = (h[:n] ^ table[k, :n]) * prime
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def fast_many(states: np.ndarray, counts: np.ndarray, data: list[bytes]) -> np.ndarray:
+    """Fast-hash states after each group's messages; data holds the groups one after another, counts their messages."""
+    own, sizes = crc_rows(data), np.fromiter(map(len, data), np.int64, len(data))
+    first, h = np.cumsum(counts) - counts, states.copy()
+    ones, golden = np.uint32(0xFFFFFFFF), np.uint64(GOLDEN)
+    for k in range(int(counts.max(initial=0))):
+        live = np.flatnonzero(counts > k)
+        at, now = first[live] + k, h[live]
+        seed = (now & np.uint64(0xFFFFFFFF)).astype(np.uint32) ^ ones
+        crc = own[at] ^ crc_shift_array(seed, sizes[at]) ^ ones
+        h[live] = (now << np.uint64(7) | now >> np.uint64(57)) ^ (crc.astype(np.uint64) * golden)
+    return h
+
+
 def signed(x) -> np.ndarray:
     return np.asarray(x, dtype=np.uint64).view(np.int64)
 
 
 @F.pandas_udf(LongType())
 def crc32c_udf(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else crc32c(bytes(b)))
+    some = data.notna()
+    rows = [bytes(b) for b in data[some]]
+    out = pd.Series(pd.NA, index=data.index, dtype="Int64")
+    start = crc_shift_array(np.full(len(rows), 0xFFFFFFFF, np.uint32), np.fromiter(map(len, rows), np.int64, len(rows)))
+    out[some] = (crc_rows(rows) ^ start ^ np.uint32(0xFFFFFFFF)).astype(np.int64)
+    return out
 
 
 @F.pandas_udf(LongType())
 def span_lanes_udf(data: pd.Series) -> pd.Series:
-    return pd.Series(signed([span_lanes(bytes(b)) for b in data]))
+    return pd.Series(signed(span_lanes_rows([bytes(b) for b in data])))
 
 
 @F.pandas_udf(LongType())

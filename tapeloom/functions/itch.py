@@ -81,3 +81,20 @@ def encode(kind: str, values: dict[str, Column]) -> Column:
     if at < LENGTHS[kind]:
         parts.append(padded(F.lit(""), LENGTHS[kind] - at))
     return F.concat(*parts)
+
+
+def book_columns(df: DataFrame, msg: str = "msg") -> DataFrame:
+    """Messages (pos, msg) as the order book's relation: pos, type, locate, order_ref, new_ref, side, q, px, printable."""
+    m, kind = F.col(msg), F.col("type")
+
+    def field(name: str) -> Column:
+        out = None
+        for t, fields in FIELDS.items():
+            for own, at, size, what in fields:
+                if own == name and t in "AFECXDU":
+                    value = long(m, at, size) if what == "number" else F.rtrim(F.decode(F.substring(m, at + 1, size), "US-ASCII"))
+                    out = F.when(kind == t, value) if out is None else out.when(kind == t, value)
+        return out
+
+    rows = df.withColumns({"type": message_type(m), "locate": long(m, 1, 2).cast("int")})
+    return rows.select("pos", "type", "locate", *(field(n).alias(a) for n, a in (("order_ref", "order_ref"), ("new_ref", "new_ref"), ("side", "side"), ("shares", "q"), ("price", "px"), ("printable", "printable"))))

@@ -10,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.ordering import running
+from tapeloom.functions.ordering import BUCKET, running
 from tapeloom.sources.derived import messages_of
 
 WINDOW = 1024
-#: Sequence numbers or arrivals per bucket of a running value.
-BUCKET = 4096
 
 
 def data(packets: DataFrame) -> DataFrame:
@@ -61,6 +59,17 @@ def emitted(packets: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return rows.select("session_epoch", "seq", "first_arrival", "emit_arrival", (F.col("emit_arrival") > F.col("first_arrival")).alias("staged"))
 
 
+def first_copies(parsed: DataFrame) -> DataFrame:
+    """Messages that go out of one session's parsed frames (wire.parse_frames): seq and msg, the first copy received of each.
+
+    Packets that lie below the watermark when they arrive are dropped before their messages are looked at."""
+    whole = parsed.where("kind = 'data' AND error IS NULL").select("arrival", "feed", F.lit(0).alias("session_epoch"), F.col("seq").cast("bigint").alias("first_seq"), F.size("blocks").alias("count"), "blocks")
+    packets = whole.select("arrival", "feed", "session_epoch", "first_seq", "count", (F.col("first_seq") + F.col("count") - 1).alias("last_seq"))
+    out = emitted(packets).select("seq", F.col("first_arrival").alias("arrival"))
+    rows = whole.select("arrival", "first_seq", F.posexplode("blocks").alias("i", "msg")).select("arrival", (F.col("first_seq") + F.col("i")).alias("seq"), "msg")
+    return rows.join(out, ["arrival", "seq"]).select("seq", "msg")
+
+
 def watermarks(packets: DataFrame, out: DataFrame | None = None, bucket: int = BUCKET) -> DataFrame:
     """packets plus w_before and w_after, the next expected number around each packet (w_before null for the first)."""
     out = emitted(packets) if out is None else out
@@ -84,9 +93,9 @@ def gap_events(marked: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """GapOpened and ReAnchored events: session_epoch, arrival, event, at (the watermark), ahead, gen (within the session)."""
     x = F.when(F.col("first_seq") > F.coalesce("w_before", "first_seq"), F.col("first_seq"))
     b = F.expr(f"arrival div {bucket}")
-    rows = running(marked.withColumn("_x", x), b, ["arrival"], ["session_epoch"], _e=("max", F.col("_x")))
-    rows = running(rows, b, ["arrival"], ["session_epoch"], inclusive=False, _e0=("max", F.col("_x")))
-    e, e0, w0 = F.coalesce("_e", F.lit(0)), F.coalesce("_e0", F.lit(0)), F.coalesce("w_before", F.lit(0))
+    rows = running(marked.withColumn("_x", x), b, ["arrival"], ["session_epoch"], inclusive=False, _e0=("max", F.col("_x")))
+    e0, w0 = F.coalesce("_e0", F.lit(0)), F.coalesce("w_before", F.lit(0))
+    e = F.greatest(e0, F.coalesce("_x", F.lit(0)))
     opened, closed = (w0 >= e0) & (F.col("w_after") < e), (w0 < e0) & (F.col("w_after") >= e)
     rows = rows.withColumn("event", F.when(opened, "GapOpened").when(closed, "ReAnchored"))
     rows = running(rows, b, ["arrival"], ["session_epoch"], gen=("sum", F.when(F.col("event") == "GapOpened", 1).otherwise(0).cast("bigint")))
@@ -111,13 +120,14 @@ def missing_ranges(packets: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def counters(marked: DataFrame, out: DataFrame, events: DataFrame) -> DataFrame:
-    """One row of telemetry."""
+    """One row of telemetry. It holds where beyond_window is 0; sequencer.telemetry counts exactly for any tape."""
     side = lambda f: F.col("feed") % 2 == f
     per = marked.agg(
         *(F.count_if(side(f)).alias(f"packets_{n}") for f, n in ((0, "a"), (1, "b"))),
         *(F.count_if(side(f) & (F.col("class") == "duplicate")).alias(f"dups_{n}") for f, n in ((0, "a"), (1, "b"))),
         F.sum("dup_msgs").cast("bigint").alias("dup_msgs"),
         F.countDistinct("session_epoch").alias("sessions"),
+        F.count_if(F.col("last_seq") >= F.coalesce("w_before", "first_seq") + WINDOW).alias("beyond_window"),
     )
     sent = out.agg(F.count(F.lit(1)).alias("msgs_emitted"))
     held = marked.where("class = 'ahead'").agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("staged_msgs"))
@@ -126,7 +136,7 @@ def counters(marked: DataFrame, out: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def beyond_window(marked: DataFrame) -> DataFrame:
-    """Packets that reach past the reorder window: the closed form holds for sessions without any; others go to streaming.sequencer."""
+    """Packets that reach past the reorder window: the closed form holds for sessions without any; operators.exact sends the others to the sequencer."""
     return marked.where(F.col("last_seq") >= F.coalesce("w_before", "first_seq") + WINDOW)
 
 

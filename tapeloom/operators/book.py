@@ -10,64 +10,81 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.binary import wrapping_sum, wrapping_times
 from tapeloom.functions.ordering import running
 
 CHUNK = 512
+#: Messages that refer to an order; prints (P, Q) only set a price, all others leave the book as it is.
+REFERRING = ("A", "F", "E", "C", "X", "D", "U")
 
 
-def _rows(tape: DataFrame, dead: DataFrame | None) -> DataFrame:
+def _rows(tape: DataFrame) -> DataFrame:
     """tape as rows by reference: a replacement is an end of the old reference (role 0) and a birth of the new one (role 1)."""
     common = ["pos", "type", "locate", "side", "q", "px", "printable"]
-    own = tape.where("type <> 'P' AND type <> 'Q'").select(F.col("order_ref").alias("ref"), F.when(F.col("type").isin("A", "F"), 1).otherwise(0).alias("role"), *common, F.lit(None).cast("bigint").alias("parent"))
+    tape = tape.where(F.col("type").isin(*REFERRING))
+    own = tape.select(F.col("order_ref").alias("ref"), F.when(F.col("type").isin("A", "F"), 1).otherwise(0).alias("role"), *common, F.lit(None).cast("bigint").alias("parent"))
     new = tape.where("type = 'U'").select(F.col("new_ref").alias("ref"), F.lit(1).alias("role"), *common, F.col("order_ref").alias("parent"))
-    if dead is not None:
-        new = new.join(dead, "pos", "left_anti")
     return own.unionByName(new)
 
 
 def _lives(rows: DataFrame) -> DataFrame:
+    """rows plus life (how many births so far), ended, taken, shares, own_px, own_side, alive and rem."""
     by = Window.partitionBy("ref").orderBy("pos", "role")
     rows = rows.withColumn("life", F.sum("role").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     ends = ((F.col("role") == 0) & F.col("type").isin("D", "U")).cast("int")
     takes = F.when((F.col("role") == 0) & F.col("type").isin("E", "C", "X"), F.col("q")).otherwise(0)
-    life = Window.partitionBy("ref", "life")
-    before = life.orderBy("pos", "role").rowsBetween(Window.unboundedPreceding, -1)
+    life = Window.partitionBy("ref", "life").orderBy("pos", "role")
+    before, so_far = life.rowsBetween(Window.unboundedPreceding, -1), life.rowsBetween(Window.unboundedPreceding, 0)
+    born = F.col("role") == 1
     rows = rows.withColumns(
         {
             "ended": F.coalesce(F.max(ends).over(before), F.lit(0)),
             "taken": F.coalesce(F.sum(takes).over(before), F.lit(0)),
-            "shares": F.max(F.when(F.col("role") == 1, F.col("q"))).over(life),
-            "own_px": F.max(F.when(F.col("role") == 1, F.col("px"))).over(life),
+            "shares": F.max(F.when(born, F.col("q"))).over(so_far),  # a life's first row is its birth
+            "own_px": F.max(F.when(born, F.col("px"))).over(so_far),
+            "own_side": F.max(F.when(born, F.col("side"))).over(so_far),
         }
     )
     rows = rows.withColumn("alive", (F.col("life") > 0) & (F.col("ended") == 0))
     return rows.withColumn("rem", F.when(F.col("alive"), F.greatest(F.lit(0), F.col("shares") - F.col("taken"))))
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """Lives in which no birth comes from a replacement of a dead order.
+
+    All references are resolved once. Births by dead replacements are taken out and the references they would have made
+    resolved anew, until a round finds no more of them; a round touches only such references and is checkpointed."""
+    done = _lives(rows).checkpoint()
+    found = done.where("role = 0 AND type = 'U' AND NOT alive").select("pos").checkpoint()
+    dead, changed = found, None
+    while not found.isEmpty():  # a round only adds to the dead, so this ends
+        touched = rows.where("role = 1 AND type = 'U'").join(found, "pos", "left_semi").select("ref").distinct()
+        touched = touched if changed is None else touched.unionByName(changed).distinct()
+        changed = touched.checkpoint()
+        again = _lives(rows.join(changed, "ref", "left_semi").join(dead.withColumn("role", F.lit(1)), ["pos", "role"], "left_anti")).checkpoint()
+        now = again.where("role = 0 AND type = 'U' AND NOT alive").select("pos")
+        found = now.join(dead, "pos", "left_anti").checkpoint()
+        dead = dead.unionByName(found).checkpoint()
+    return done if changed is None else done.join(changed, "ref", "left_anti").unionByName(again)
+
+
 def resolve(tape: DataFrame) -> DataFrame:
-    """Rows by reference with life, alive, rem and side. A round for each link of the longest dead chain; each is checkpointed."""
-    dead, known = None, 0
-    while True:  # a round only adds to the dead, so this ends
-        rows = _lives(_rows(tape, dead))
-        now = rows.where("role = 0 AND type = 'U' AND NOT alive").select("pos").checkpoint()
-        n = now.count()
-        if n == known:
-            break
-        dead, known = now, n
-    rows = rows.checkpoint()
-    # Sides: an add's own; a replacement inherits through the chain of its old references.
-    births = rows.where("role = 1").select("ref", "life", "pos", "side", "parent")
-    old = rows.where("role = 0 AND type = 'U' AND alive").select(F.col("pos").alias("_pos"), F.col("ref").alias("_ref"), F.col("life").alias("_life"))
-    sides = births.where("parent IS NULL").select("ref", "life", "side")
-    open_ = births.where("parent IS NOT NULL").join(old, F.col("pos") == F.col("_pos")).select("ref", "life", "_ref", "_life").checkpoint()
-    while not open_.isEmpty():
-        to = sides.select(F.col("ref").alias("_ref"), F.col("life").alias("_life"), "side")
-        found = open_.join(to, ["_ref", "_life"]).select("ref", "life", "side").checkpoint()
-        if found.isEmpty():
-            break
-        sides = sides.unionByName(found)
-        open_ = open_.join(found.select("ref", "life"), ["ref", "life"], "left_anti").checkpoint()
-    return rows.drop("side").join(sides, ["ref", "life"], "left")
+    """Rows by reference with life, alive, rem and side."""
+    rows = _settled(_rows(tape)).checkpoint()
+    # Sides: an add's own; a replacement inherits through the chain of its old references. A round for each link of the longest chain.
+    old = rows.where("role = 0 AND type = 'U' AND alive").select("pos", F.col("ref").alias("_ref"), F.col("life").alias("_life"), F.col("own_side").alias("_side"))
+    births = rows.where("role = 1 AND parent IS NOT NULL").select("ref", "life", "pos").join(old, "pos").drop("pos").checkpoint()
+    sides = births.where("_side IS NOT NULL").select("ref", "life", F.col("_side").alias("side"))
+    newest, waiting = sides, births.where("_side IS NULL").drop("_side")
+    while not waiting.isEmpty():
+        to = newest.select(F.col("ref").alias("_ref"), F.col("life").alias("_life"), "side")
+        newest = waiting.join(to, ["_ref", "_life"]).select("ref", "life", "side").checkpoint()
+        if newest.isEmpty():
+            break  # what is left descends from no add
+        sides = sides.unionByName(newest)
+        waiting = waiting.join(newest, ["ref", "life"], "left_anti").checkpoint()
+    inherited = sides.withColumnRenamed("side", "_side")
+    return rows.join(inherited, ["ref", "life"], "left").withColumn("side", F.coalesce("own_side", "_side")).drop("own_side", "_side")
 
 
 def tokens(tape: DataFrame) -> DataFrame:
@@ -91,15 +108,19 @@ def tokens(tape: DataFrame) -> DataFrame:
         F.coalesce(takes & F.col("alive") & (F.col("q") > F.col("rem")), F.lit(False)).alias("clamped"),
         F.coalesce((F.col("type") == "E") & F.col("alive") & (F.col("q") > F.col("rem")), F.lit(False)).alias("zero_rem"),
     )
-    prints = tape.where("type IN ('P', 'Q')").select("pos", "type", "locate", F.col("pos").alias("seq"), "px", F.lit(0).cast("bigint").alias("db"), F.lit(0).cast("bigint").alias("da"), *(F.lit(False).alias(c) for c in ("anomaly", "clamped", "zero_rem")))
-    return out.unionByName(prints)
+    prints = F.col("type").isin("P", "Q")
+    rest = tape.where(~F.col("type").isin(*REFERRING)).select(
+        "pos", "type", "locate", F.when(prints, F.col("pos")).otherwise(0).alias("seq"), F.when(prints, F.col("px")).otherwise(0).alias("px"), F.lit(0).cast("bigint").alias("db"),
+        F.lit(0).cast("bigint").alias("da"), *(F.lit(False).alias(c) for c in ("anomaly", "clamped", "zero_rem")),
+    )
+    return out.unionByName(rest)
 
 
 def signature(rows: DataFrame, *by) -> DataFrame:
-    """The fold of tokens: sums of the deltas, price and number of the last that set one (0 if none)."""
+    """The fold of tokens: sums of the deltas modulo 2^64, price and number of the last that set one (0 if none)."""
     sets = F.col("seq") > 0
     return rows.groupBy(*by).agg(
-        F.sum("db").cast("bigint").alias("db"), F.sum("da").cast("bigint").alias("da"), F.coalesce(F.max_by(F.when(sets, F.col("px")), F.when(sets, F.col("seq"))), F.lit(0)).alias("px"), F.max("seq").alias("seq")
+        wrapping_sum(F.col("db")).alias("db"), wrapping_sum(F.col("da")).alias("da"), F.coalesce(F.max_by(F.when(sets, F.col("px")), F.when(sets, F.col("seq"))), F.lit(0)).alias("px"), F.max("seq").alias("seq")
     )
 
 
@@ -120,9 +141,20 @@ def locate_chunks(rows: DataFrame) -> DataFrame:
 def chunk_states(rows: DataFrame) -> DataFrame:
     """State after each chunk: volumes so far and the last price so far. Chunks are few: a running value over chunk rows."""
     per = chunks(rows)
-    out = running(per, F.expr("chunk div 4096"), ["chunk"], b=("sum", F.col("db")), a=("sum", F.col("da")), _seq=("max", F.col("seq")))
+    out = running(per, F.expr("chunk div 4096"), ["chunk"], b=("wrap", F.col("db")), a=("wrap", F.col("da")), _seq=("max", F.col("seq")))
     prices = per.where("seq > 0").select(F.col("seq").alias("_s"), F.col("px").alias("p"))
-    return out.join(prices, F.col("_seq") == F.col("_s"), "left").select("chunk", F.col("b").cast("bigint"), F.col("a").cast("bigint"), F.coalesce("p", F.lit(0)).alias("p"))
+    return out.join(prices, F.col("_seq") == F.col("_s"), "left").select("chunk", "b", "a", F.coalesce("p", F.lit(0)).alias("p"))
+
+
+def tags(rows: DataFrame) -> DataFrame:
+    """For each chunk its bytes by the span weights, and the offset (modulo 2^16) after the last message that set a price; -1 if none did."""
+    from tapeloom.functions.itch import SPAN_WEIGHT, lookup
+
+    order = Window.partitionBy("chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)  # CHUNK rows
+    rows = rows.select(F.expr(f"(pos - 1) div {CHUNK}").alias("chunk"), "pos", "seq", lookup(SPAN_WEIGHT, F.col("type"), 0).cast("bigint").alias("w"))
+    rows = rows.withColumn("so_far", F.sum("w").over(order))
+    last = F.max(F.when(F.col("seq") > 0, F.col("so_far")))
+    return rows.groupBy("chunk").agg(F.sum("w").alias("bytes"), F.coalesce(last % 65_536, F.lit(-1)).alias("tag"))
 
 
 def lob_events(tape: DataFrame) -> DataFrame:
@@ -133,22 +165,23 @@ def lob_events(tape: DataFrame) -> DataFrame:
 
 def lob_states(events: DataFrame, block: int = CHUNK) -> DataFrame:
     """State after each block of positions: volume, pv, count and the integer average price (null at volume 0)."""
-    sign = F.when(F.col("kind") == "Add", 1).otherwise(-1)
-    deltas = events.select(F.expr(f"(i - 1) div {block}").alias("block"), (sign * F.col("qty")).alias("dv"), (sign * F.col("qty") * F.col("px")).alias("dpv"), sign.cast("bigint").alias("dn"))
-    sums = deltas.groupBy("block").agg(F.sum("dv").alias("dv"), F.sum("dpv").alias("dpv"), F.sum("dn").alias("dn"))
-    out = running(sums, F.expr("block div 4096"), ["block"], volume=("sum", F.col("dv")), pv=("sum", F.col("dpv")), count=("sum", F.col("dn")))
-    return out.select("block", F.col("volume").cast("bigint"), F.col("pv").cast("bigint"), F.col("count").cast("bigint"), F.when(F.col("volume") != 0, F.expr("pv div volume")).cast("bigint").alias("vwap"))
+    sign = F.when(F.col("kind") == "Add", 1).otherwise(-1).cast("bigint")
+    worth = wrapping_times(F.col("qty"), F.col("px"))
+    worth = F.when(F.col("kind") == "Add", worth).otherwise(-worth)
+    sums = events.groupBy(F.expr(f"(i - 1) div {block}").alias("block")).agg(F.sum(sign * F.col("qty")).alias("dv"), wrapping_sum(worth).alias("dpv"), F.sum(sign).alias("dn"))
+    out = running(sums, F.expr("block div 4096"), ["block"], volume=("wrap", F.col("dv")), pv=("wrap", F.col("dpv")), count=("sum", F.col("dn")))
+    return out.select("block", "volume", "pv", F.col("count").cast("bigint"), F.when(F.col("volume") != 0, F.expr("pv div volume")).cast("bigint").alias("vwap"))
 
 
 def telemetry(rows: DataFrame, tape: DataFrame) -> DataFrame:
     """Anomalies, clamps, and the longest life in messages of any order reference."""
-    most = tape.groupBy("order_ref").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("max_lifecycle"))
+    most = tape.where(F.col("type").isin(*REFERRING)).groupBy("order_ref").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("max_lifecycle"))
     sums = rows.agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if("anomaly").alias("anomalies"), F.count_if("clamped").alias("clamps"), F.count_if("zero_rem").alias("zero_rem_keep"))
     return sums.crossJoin(most)  # one row each
 
 
 def state_digest(rows: DataFrame) -> DataFrame:
-    """XOR over locates of a mix of first-appearance number, fold and state; avalanched."""
+    """XOR over locates of a mix of first-appearance number, fold and state; avalanched. Its rotations and factors are fixed values."""
     from tapeloom.functions.binary import rotate_left
     from tapeloom.functions.hashes import GOLDEN, wrapping_product
 

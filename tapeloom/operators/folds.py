@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from tapeloom.functions import hashes as H
 from tapeloom.functions.binary import little_endian, rotate_left
@@ -18,33 +21,53 @@ from tapeloom.functions.ordering import running
 ROTATE = 13
 
 
+#: Bytes of messages that a task folds at once.
+SLAB = 4 << 20
+
+
 def sequential(messages: DataFrame, keys: list[str], order: str = "pos", msg: str = "msg") -> DataFrame:
     """golden (FNV-1a over length and bytes) and fast hash of each key's messages in order: a stream through one task for
-    each key, since these folds don't decompose."""
+    each key, since these folds don't decompose. A task folds many keys side by side, and carries the last one's state on."""
+    fields = ", ".join(f"{k} {dict(messages.dtypes)[k]}" for k in keys)
+    schema = to_arrow_schema(_parse_datatype_string(f"{fields}, n_messages bigint, golden bigint, fast bigint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, golden, fast, n = None, H.FNV_SEED, H.FNV_SEED, 0
-        names = [*keys, "n_messages", "golden", "fast"]
+        carried: tuple | None = None  # the key that is still open: key, n, golden, fast
+        names: list[tuple] = []
+        groups: list[list[bytes]] = []
+        size = 0
+
+        def fold(last: bool) -> pa.RecordBatch:
+            nonlocal carried, names, groups, size
+            if carried and (not names or names[0] != carried[0]):
+                names, groups = [carried[0], *names], [[], *groups]
+            golden = np.full(len(names), H.FNV_SEED, np.uint64)
+            fast, n = golden.copy(), np.fromiter(map(len, groups), np.int64, len(groups))
+            before = n.copy()
+            if carried:
+                golden[0], fast[0] = carried[2], carried[3]
+                n[0] += carried[1]
+            golden = H.fnv_many(golden, [b"".join(x for m in g for x in (len(m).to_bytes(2, "little"), m)) for g in groups])
+            fast = H.fast_many(fast, before, [m for g in groups for m in g])
+            done = len(names) if last else len(names) - 1
+            carried = None if last or not names else (names[-1], int(n[-1]), golden[-1], fast[-1])
+            cols = [pa.array([k[i] for k in names[:done]], schema.field(i).type) for i in range(len(keys))]
+            cols += [pa.array(n[:done]), pa.array(H.signed(golden[:done])), pa.array(H.signed(fast[:done]))]
+            names, groups, size = [], [], 0
+            return pa.RecordBatch.from_arrays(cols, schema=schema)
 
-        def row():
-            cols = [pa.array([k]) for k in key] + [pa.array([n], pa.int64()), pa.array(H.signed([golden])), pa.array(H.signed([fast]))]
-            return pa.RecordBatch.from_arrays(cols, names=names).cast(schema)
-
-        schema = None
         for b in batches:
-            schema = schema or pa.schema([*(b.schema.field(k) for k in keys), ("n_messages", pa.int64()), ("golden", pa.int64()), ("fast", pa.int64())])
             for *own, m in zip(*(b.column(k).to_pylist() for k in keys), b.column(msg).to_pylist(), strict=True):
-                if own != key:
-                    if key is not None:
-                        yield row()
-                    key, golden, fast, n = own, H.FNV_SEED, H.FNV_SEED, 0
-                golden = H.fnv(H.fnv(golden, len(m).to_bytes(2, "little")), m)
-                fast = H.fast_step(fast, m)
-                n += 1
-        if key is not None:
-            yield row()
+                if not names or tuple(own) != names[-1]:
+                    names.append(tuple(own))
+                    groups.append([])
+                groups[-1].append(m)
+                size += len(m)
+                if size >= SLAB:
+                    yield fold(False)
+        if names or carried:
+            yield fold(True)
 
-    fields = ", ".join(f"{k} {dict(messages.dtypes)[k]}" for k in keys)
     rows = messages.select(*keys, order, msg).repartition(*keys).sortWithinPartitions(*keys, order)
     return rows.mapInArrow(run, f"{fields}, n_messages bigint, golden bigint, fast bigint")
 
@@ -89,6 +112,49 @@ def compose(early: tuple[int, int], late: tuple[int, int]) -> tuple[int, int]:
     return H.mulmod(early[0], H.power(late[1])) ^ late[0], early[1] + late[1]
 
 
+def composed(records: DataFrame, *by: str) -> DataFrame:
+    """Records (pos, v, deg, cnt) of each key, in order of pos, as one: v, deg, cnt and c = x^deg."""
+    keys = list(by)
+    after = Window.partitionBy(*keys).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)  # records are few: one a chunk or window
+    rows = records.withColumn("_after", F.coalesce(F.sum("deg").over(after), F.lit(0)).cast("bigint"))
+    rows = rows.withColumn("_t", H.ring_product(F.col("v"), H.ring_power(F.col("_after"))))
+    return rows.groupBy(*keys).agg(F.bit_xor("_t").alias("v"), F.sum("deg").cast("bigint").alias("deg"), F.sum("cnt").cast("bigint").alias("cnt")).withColumn("c", H.ring_power("deg"))
+
+
+def chain_in_order(windows: DataFrame, slot: str = "slot") -> DataFrame:
+    """The same as chain, window by window: what a chain is held against."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = 0
+        for own in pdf.sort_values("window")["hash"]:
+            h = H.mulmod(h, H.power(64)) ^ (int(own) & H.MASK)
+        return pd.DataFrame({slot: [pdf[slot].iloc[0]], "ordered": H.signed([h])})
+
+    return windows.select(slot, "window", "hash").groupBy(slot).applyInPandas(run, f"{slot} {dict(windows.dtypes)[slot]}, ordered bigint")
+
+
+def crc_parts(messages: DataFrame, keys: list[str], order: str = "pos", msg: str = "msg") -> DataFrame:
+    """Raw registers of messages by subtraction: a key's cumulative registers run through one task, and each message's own is
+    what lies between two of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, register = None, 0
+        for b in batches:
+            before, after = [], []
+            for *own, m in zip(*(b.column(k).to_pylist() for k in keys), b.column(msg).to_pylist(), strict=True):
+                if own != key:
+                    key, register = own, 0
+                before.append(register)
+                register = H.crc_update(register, m)
+                after.append(register)
+            lengths = pc.binary_length(b.column(msg)).to_numpy(zero_copy_only=False).astype(np.int64)
+            crc = H.crc_between_array(np.array(before, np.uint32), np.array(after, np.uint32), lengths)
+            yield pa.RecordBatch.from_arrays([b.column(order), pa.array(crc.astype(np.int64))], names=["pos", "crc"])
+
+    rows = messages.select(*keys, order, msg).repartition(*keys).sortWithinPartitions(*keys, order)
+    return rows.mapInArrow(run, "pos bigint, crc bigint")
+
+
 def chain(windows: DataFrame, slot: str = "slot") -> DataFrame:
     """Each slot's windows in order: chain * x^64 xor hash, by the same closed form with weight 64 each."""
     return ring_fold(windows.select(slot, F.col("window").alias("pos"), F.col("hash").alias("v"), F.lit(64).cast("bigint").alias("w")), slot).select(slot, F.col("v").alias("chain"), F.col("cnt").alias("windows"))

@@ -19,19 +19,28 @@ def requests(missing: DataFrame) -> DataFrame:
     return rows.select("session_epoch", start.alias("from_seq"), F.least(F.lit(MOST), F.col("to_excl") - start).cast("bigint").alias("count"))
 
 
-def serve(asked: DataFrame, truth: DataFrame, fault: str = "ok") -> DataFrame:
-    """Messages that the service returns for requests: an interval join by buckets of the sequence, packed by bytes.
+#: Faults of the service, with how many requests or messages they concern (or how many nanoseconds of delay).
+FAULTS = (("ok", 0), ("delay", 5_000_000), ("drop_request", 2), ("drop_response", 3), ("truncate", 1), ("truncate", 4), ("wrong_session", 0), ("duplicate_first", 0), ("unbound", 0))
 
-    truth has session_epoch, seq and size. Faults: ok, drop_request, drop_response (nothing comes), truncate (the first
-    message alone), duplicate_first. Sessions that truth lacks get nothing."""
+
+def serve(asked: DataFrame, truth: DataFrame, fault: str = "ok", n: int = 0) -> DataFrame:
+    """Messages that the service returns for requests: an interval join by buckets of the sequence.
+
+    truth has session_epoch, seq and size. Faults: ok; delay (n nanoseconds late); drop_request and drop_response (the
+    first n requests in order of their start get nothing, 0: none of them does); truncate (the first n messages of each, at
+    least one); wrong_session (all is served under another session's name, so none of it is usable); duplicate_first;
+    unbound (nobody answers). Sessions that truth lacks get nothing."""
+    if fault == "unbound" or fault in ("drop_request", "drop_response") and not n:
+        asked = asked.where("false")
+    elif fault in ("drop_request", "drop_response"):
+        first = asked.orderBy("session_epoch", "from_seq").limit(n).select("session_epoch", "from_seq")
+        asked = asked.join(first, ["session_epoch", "from_seq"], "left_anti")
     end = F.col("from_seq") + F.col("count")
     spread = asked.withColumn("_b", F.explode(F.sequence(F.expr(f"from_seq div {BUCKET}"), F.expr(f"(from_seq + count - 1) div {BUCKET}"))))
     rows = truth.withColumn("_b", F.expr(f"seq div {BUCKET}")).join(spread, ["session_epoch", "_b"]).where((F.col("seq") >= F.col("from_seq")) & (F.col("seq") < end))
-    rows = rows.select("session_epoch", "from_seq", "seq", "size")
-    if fault in ("drop_request", "drop_response"):
-        return rows.where("false")
+    rows = rows.select("session_epoch", "from_seq", "seq", "size", F.lit(n if fault == "delay" else 0).cast("bigint").alias("wait_ns"), F.lit(fault != "wrong_session").alias("usable"))
     if fault == "truncate":
-        return rows.where("seq = from_seq")
+        return rows.where(F.col("seq") < F.col("from_seq") + max(1, n))
     if fault == "duplicate_first":
         return rows.unionAll(rows.where("seq = from_seq"))
     return rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.functions.binary import TWO_64, floor_quantum, rotate_left
+from tapeloom.functions.binary import TWO_64, floor_quantum, rotate_left, wrapping_sum
 from tapeloom.functions.hashes import GOLDEN
 
 SLOTS, DRIFT, DEPTH, WINDOW = 8, 10_000, 16, 512
@@ -19,12 +19,12 @@ def slot(locate: Column, slots: int = SLOTS) -> Column:
 
 def digest(rows: DataFrame, *by) -> DataFrame:
     """(xor v, xor c, sums of db, da, deg, cnt): any order and any grouping of the rows gives the same."""
-    sums = [F.sum(c).cast("bigint").alias(c) for c in ("db", "da", "deg", "cnt")]
+    sums = [wrapping_sum(F.col(c)).alias(c) for c in ("db", "da", "deg", "cnt")]
     return rows.groupBy(*by).agg(F.bit_xor("v").alias("v"), F.bit_xor("c").alias("c"), *sums)
 
 
 def digest_hash() -> Column:
-    """The hash of a digest row's six columns."""
+    """The hash of a digest row's six columns; its rotations are fixed values."""
     out = F.col("v").bitwiseXOR(rotate_left(F.col("c"), 17)).bitwiseXOR(rotate_left(F.col("db"), 31)).bitwiseXOR(rotate_left(F.col("da"), 47))
     return out.bitwiseXOR(F.shiftleft("deg", 32)).bitwiseXOR(F.col("cnt"))
 

@@ -14,7 +14,7 @@ from tapeloom.functions import itch
 from tapeloom.functions.binary import big_endian
 from tapeloom.operators import arbitrate as A
 from tapeloom.operators import book as B
-from tapeloom.operators import folds, lanes, measure, recovery, venue
+from tapeloom.operators import exact, folds, lanes, measure, recovery, venue
 from tapeloom.plans import oracles
 from tapeloom.session import tables
 from tapeloom.sources import derived as D
@@ -55,6 +55,15 @@ def feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
     return packets, out, A.watermarks(packets, out).checkpoint()
 
 
+def lossy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dual feed without its recovered copies: gaps that nobody closes."""
+    return D.dual_feed(spark, sf_dir, recovered=False)
+
+
+def tape_of(frames: DataFrame, name: str) -> DataFrame:
+    return frames.select(F.lit(name).alias("tape"), "arrival", "vt", "feed", "frame")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.emitted(D.dual_feed(spark, sf_dir)).select("seq", "first_arrival", "emit_arrival")
 
@@ -80,7 +89,7 @@ def frame_parse_messages(spark, d):
 
 @query
 def request_encode(spark, d):
-    rows = recovery.requests(A.missing_ranges(D.dual_feed(spark, d)))
+    rows = recovery.requests(A.missing_ranges(lossy(spark, d)))
     return rows.select("from_seq", "count", F.hex(wire.request(F.lit(D.SESSION), F.col("from_seq"), F.col("count"))).alias("request"))
 
 
@@ -150,10 +159,82 @@ def arb_emitted(spark, d):
 
 @query
 def arb_sequencer(spark, d):
-    rows = sequencer.arbitrate(D.encoded_feed(spark, d).withColumn("tape", F.lit("t")))
+    rows = sequencer.arbitrate(tape_of(D.encoded_feed(spark, d), "main"))
     return rows.where("event = 'Message'").select(F.col("a").alias("seq"), "arrival", "gen")
 
 
+@query
+def arb_agreement(spark, d):
+    """The closed form and the sequencer on the same feed: messages, and rows that only one of them has."""
+    one, two = (f(spark, d).checkpoint() for f in (arb_sequencer, arb_eras))
+    two = two.select("seq", F.col("emit_arrival").alias("arrival"), "gen")
+    sides = one.withColumn("side", F.lit(1)).unionByName(two.withColumn("side", F.lit(-1))).groupBy("seq", "arrival", "gen").agg(F.sum("side").alias("n"), F.count_if(F.col("side") == 1).alias("m"))
+    return sides.agg(F.sum("m").cast("bigint").alias("n_messages"), F.count_if(F.col("n") != 0).alias("differing"))
+
+
+@query
+def arb_open_gap(spark, d):
+    """A session whose gap never closes: what stands before it, exactly."""
+    return A.emitted(lossy(spark, d)).select("seq", "first_arrival", "emit_arrival")
+
+
+@query
+def arb_exact(spark, d):
+    """Tapes that the closed form serves and tapes that need the sequencer, each by its own way."""
+    shared(spark)
+    frames = tape_of(D.encoded_feed(spark, d), "main").unionByName(D.rough_feed(spark, d))
+    return exact.emitted(frames)
+
+
+@query
+def arb_rough_counters(spark, d):
+    rows = sequencer.telemetry(D.rough_feed(spark, d))
+    return rows.drop("ignored_after_dead", "intents_issued")
+
+
+@query
+def arb_open_counters(spark, d):
+    rows = sequencer.telemetry(tape_of(D.encoded_feed(spark, d, recovered=False), "open"))
+    return rows.drop("ignored_after_dead", "intents_issued")
+
+
+@query
+def arb_rough_events(spark, d):
+    rows = sequencer.arbitrate(D.rough_feed(spark, d)).where("event <> 'Message'")
+    return rows.select("tape", "arrival", "event", F.col("a").alias("from"), F.col("b").alias("to"), "gen", "note")
+
+
+@query
+def event_grammar_full(spark, d):
+    """Gaps close, are flushed by a new session or stay open to the end; a session ends once; eras never fall."""
+    from pyspark.sql import Window
+
+    rows = sequencer.arbitrate(D.rough_feed(spark, d)).where("event <> 'Message'")
+    order = Window.partitionBy("tape").orderBy("arrival", "gen", F.when(F.col("event") == "SessionBoundary", 0).otherwise(1))  # control events, few
+    rows = rows.withColumns({"before": F.lag("event").over(order), "era": F.lag("gen").over(order)})
+    event, before = F.col("event"), F.coalesce("before", F.lit(""))
+    bad = (event == "GapOpened") & (before == "GapOpened") | (event == "ReAnchored") & (before != "GapOpened") | (event == "EndOfSession") & (before == "EndOfSession") | (F.col("era") > F.col("gen"))
+    return rows.groupBy("tape").agg(*(F.count_if(event == name).alias(name) for name in ("GapOpened", "ReAnchored", "SessionBoundary", "EndOfSession")), F.count_if(bad).alias("violations"))
+
+
+@query
+def recovery_intents(spark, d):
+    """What each tape's engine would ask for again, with its clock's grace and the retry cap."""
+    return sequencer.intents(D.rough_feed(spark, d))
+
+
+@query
+def frame_kinds(spark, d):
+    rows = D.rough_feed(spark, d).where("length(frame) >= 20").select("tape", "arrival", *(c.alias(n) for n, c in wire.header(F.col("frame")).items()))
+    return rows.select("tape", "arrival", "session", "count", "kind", F.col("last_seq").cast("bigint").alias("last_seq"))
+
+
+@query
+def frame_errors(spark, d):
+    rows = wire.parse_headers(D.rough_feed(spark, d))
+    return rows.groupBy("tape", "kind", F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count(F.lit(1)).alias("n"), F.sum("count").cast("bigint").alias("messages"))
+
+
 @query
 def arb_eras(spark, d):
     _, out, marked = feed(spark, d)
@@ -189,12 +270,12 @@ def arb_sessions(spark, d):
 
 @query
 def arb_missing_ranges(spark, d):
-    return A.missing_ranges(D.dual_feed(spark, d)).select("from_seq", "to_excl")
+    return A.missing_ranges(lossy(spark, d)).select("from_seq", "to_excl")
 
 
 @query
 def recovery_requests(spark, d):
-    return recovery.requests(A.missing_ranges(D.dual_feed(spark, d))).select("from_seq", "count")
+    return recovery.requests(A.missing_ranges(lossy(spark, d))).select("from_seq", "count")
 
 
 def truth(spark, d):
@@ -203,12 +284,24 @@ def truth(spark, d):
 
 @query
 def recovery_served(spark, d):
-    return recovery.serve(recovery.requests(A.missing_ranges(D.dual_feed(spark, d))), truth(spark, d)).select("from_seq", "seq")
+    return recovery.serve(recovery.requests(A.missing_ranges(lossy(spark, d))), truth(spark, d)).select("from_seq", "seq")
 
 
 def recovered(spark, d):
     shared(spark)
-    return A.emitted(recovery.recover(D.dual_feed(spark, d), truth(spark, d))[0])
+    return A.emitted(recovery.recover(lossy(spark, d), truth(spark, d))[0])
+
+
+@query
+def recovery_faults(spark, d):
+    """What the service returns under each of its faults."""
+    shared(spark)
+    asked = recovery.requests(A.missing_ranges(lossy(spark, d))).checkpoint()
+    out = None
+    for fault, n in recovery.FAULTS:
+        rows = recovery.serve(asked, truth(spark, d), fault, n).select(F.lit(f"{fault}-{n}").alias("fault"), "from_seq", "seq", "wait_ns", "usable")
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("fault").agg(F.count(F.lit(1)).alias("served"), F.countDistinct(F.when(F.col("usable"), F.col("seq"))).alias("usable"), F.max("wait_ns").alias("wait_ns"))
 
 
 @query
@@ -325,6 +418,36 @@ def chunk_states(spark, d):
     return B.chunk_states(book(spark, d)[1])
 
 
+@query
+def setter_tags(spark, d):
+    return B.tags(book(spark, d)[1])
+
+
+@query
+def book_from_feed(spark, d):
+    """The same book from the wire: frames, arbitration, messages, tokens."""
+    shared(spark)
+    return B.tokens(arbitrated_book(spark, d).checkpoint()).select("pos", "type", "locate", "seq", "px", "db", "da", "anomaly", "clamped")
+
+
+def arbitrated_book(spark, d) -> DataFrame:
+    """Book messages as the dual feed delivers them: the first copy of each message in the contiguous prefix, decoded."""
+    frames = D.book_feed(spark, d).checkpoint()
+    packets = A.first_copies(wire.parse_frames(frames)).checkpoint()
+    return itch.book_columns(packets.select(F.col("seq").alias("pos"), "msg"))
+
+
+@query
+def book_bake_audit(spark, d):
+    """Tokens frozen as a table, and what differs when they are derived again from the wire."""
+    folder = f"{shared(spark)}/baked"
+    names = ["pos", "type", "locate", "seq", "px", "db", "da", "anomaly", "clamped"]
+    book(spark, d)[1].select(names).write.parquet(folder)
+    baked, again = spark.read.parquet(folder), book_from_feed(spark, d)
+    sides = baked.withColumn("side", F.lit(1)).unionByName(again.withColumn("side", F.lit(-1))).groupBy(*names).agg(F.sum("side").alias("n"), F.count_if(F.col("side") == 1).alias("m"))
+    return sides.agg(F.sum("m").cast("bigint").alias("baked"), F.count_if(F.col("n") > 0).alias("baked_only"), F.count_if(F.col("n") < 0).alias("again_only"))
+
+
 @query
 def lob_window_states(spark, d):
     return B.lob_states(B.lob_events(D.book_tape(spark, d)))
@@ -335,10 +458,37 @@ def best_price(spark, d):
     return B.lob_events(D.book_rows(spark, d).withColumn("pos", F.lit(0))).agg(F.max(F.when(F.col("kind") == "Add", F.col("px"))).alias("best_px"))
 
 
+def directory_messages(spark, d) -> DataFrame:
+    """A stock directory as messages: one for each locate."""
+    n = F.col("n_nationkey")
+    values = {"locate": n, "ts_ns": n * 1000, "stock": F.substring("n_name", 1, 8), "market_category": F.lit("Q"), "financial_status": F.lit("N"), "round_lot_size": (n + 1) * 100, "round_lots_only": F.when(n % 2 == 0, "Y").otherwise("N"), "etp_leverage": n % 4, "inverse_indicator": F.lit("N")}
+    return tables(spark, d, "nation").select(itch.encode("R", values).alias("msg"))
+
+
+@query
+def itch_decode_directory(spark, d):
+    return itch.decode(directory_messages(spark, d), "R").select("locate", "ts_ns", "stock", "market_category", "financial_status", "round_lot_size", "round_lots_only", "issue_classification", "etp_leverage", "inverse_indicator")
+
+
+@query
+def itch_decode_system(spark, d):
+    code = F.substring(F.lit("OSQMEC"), (F.col("event_id") % 6 + 1).cast("int"), F.lit(1))
+    msg = itch.encode("S", {"locate": F.lit(0), "tracking": F.col("event_id") % 7, "ts_ns": F.col("event_id") * 1_000_003, "event_code": code})
+    return itch.decode(tables(spark, d, "events").select(msg.alias("msg")), "S").select("tracking", "ts_ns", "event_code")
+
+
+@query
+def itch_decode_attributed(spark, d):
+    key = F.col("o_orderkey")
+    values = {"locate": F.col("o_custkey") % 64, "ts_ns": key, "order_ref": key, "side": F.when(key % 2 == 0, "B").otherwise("S"), "shares": 1 + key * 37 % 200, "stock": F.concat(F.lit("SYM"), (F.col("o_custkey") % 64).cast("string")), "price": F.round(F.col("o_totalprice") * 100).cast("bigint"), "mpid": F.concat(F.lit("M"), (key % 100).cast("string"))}
+    return itch.decode(tables(spark, d, "orders").select(itch.encode("F", values).alias("msg")), "F").select("order_ref", "locate", "side", "shares", "stock", "price", "mpid")
+
+
 @query
 def symbol_enrich(spark, d):
-    directory = tables(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("symbol"))  # a stock directory: one row for each locate
-    rows = book(spark, d)[1].join(F.broadcast(directory), F.col("locate") % 25 == F.col("n_nationkey"))
+    """Volumes by symbol: the directory's messages decoded, joined by locate. It has a row for each of at most 2^16 locates."""
+    directory = itch.decode(directory_messages(spark, d), "R").select(F.col("locate").alias("_locate"), F.col("stock").alias("symbol"))
+    rows = B.by_locate(book(spark, d)[1]).join(directory, F.col("locate") % 25 == F.col("_locate"))
     return rows.groupBy("symbol").agg(F.sum("db").cast("bigint").alias("bid"), F.sum("da").cast("bigint").alias("ask"))
 
 
@@ -352,11 +502,45 @@ def window_digest_commutative(spark, d):
     return venue.digest(venue.digest(venue.window_records(book(spark, d)[1]), "slot", "window"), "window")
 
 
+@query
+def lane_overlap(spark, d):
+    rows = spans(spark, d).groupBy(F.expr("pkt div 7").alias("batch")).agg(F.count(F.lit(1)).alias("spans"), F.sum("messages").alias("messages"))
+    return lanes.overlap(rows, 10, 60)
+
+
 @query
 def slot_windows(spark, d):
     return venue.digest(venue.window_records(book(spark, d)[1]), "slot", "window").select("slot", "window", "v", "db", "da", "cnt")
 
 
+@query
+def merged_windows(spark, d):
+    return venue.merged_windows(venue.window_records(book(spark, d)[1])).select("window", "cnt", "hash")
+
+
+def _spans(spark, d) -> DataFrame:
+    tape = D.book_tape(spark, d)
+    return venue.span_records(D.encoded_book(tape, "locate"))
+
+
+@query
+def span_slot_windows(spark, d):
+    """Each slot's span records of a window composed in order."""
+    return folds.ring_fold(_spans(spark, d).select("slot", "window", "pos", "v", F.col("deg").alias("w")), "slot", "window")
+
+
+@query
+def span_window_merge(spark, d):
+    """Windows closed over their slots: messages, bytes, and the composed records as one."""
+    return span_slot_windows(spark, d).groupBy("window").agg(F.sum("cnt").alias("cnt"), F.sum("deg").cast("bigint").alias("deg"), F.bit_xor("v").alias("v"), F.bit_xor("c").alias("c"))
+
+
+@query
+def span_supers(spark, d):
+    """A slot's windows composed to one record each, from the windows' records alone."""
+    return folds.composed(span_slot_windows(spark, d).withColumnRenamed("window", "pos"), "slot")
+
+
 @query
 def trigger_reads(spark, d):
     pubs = D.publications(spark, d)
@@ -397,6 +581,13 @@ def histogram_percentiles(spark, d):
     return measure.histogram_percentiles(measure.histogram(samples(spark, d)), [50.0, 90.0, 99.0])
 
 
+@query
+def gate_verdicts(spark, d):
+    """Percentiles against limits."""
+    rows = measure.exact_percentiles(samples(spark, d), [50, 90, 99, 100])
+    return rows.select("p", "x", measure.gate(F.col("x"), most=2000.0).alias("below_2000"), measure.gate(F.col("x"), least=1000.0).alias("from_1000"))
+
+
 @query
 def tail_taxonomy(spark, d):
     return measure.tail_causes(samples(spark, d), 2700)
@@ -455,16 +646,28 @@ def tape_audit(spark, d):
     return wire.audit(wire.read_tape(spark, folder)).where("error IS NULL").select("type", "n")
 
 
+@query
+def audit_report(spark, d):
+    """The audit as lines of text, the commonest type first."""
+    return wire.report(type_histogram(spark, d))
+
+
 @query
 def golden_fnv(spark, d):
-    rows = _book_messages(spark, d).select((F.expr("pos div 5000")).alias("part"), "pos", "msg")
+    rows = _book_messages(spark, d).select((F.expr("(pos - 1) div 128")).alias("part"), "pos", "msg")
     return folds.sequential(rows, ["part"])
 
 
+@query
+def crc_subtract(spark, d):
+    """Each message's register from its part's cumulative ones."""
+    rows = _book_messages(spark, d).select((F.expr("(pos - 1) div 512")).alias("part"), "pos", "msg")
+    return folds.crc_parts(rows, ["part"])
+
+
 @query
 def span_crc(spark, d):
-    m = _book_messages(spark, d).join(D.book_tape(spark, d).select("pos", "locate"), "pos")
-    return venue.span_records(m).select("pos", "slot", "window", "v", "c", "deg")
+    return _spans(spark, d).select("pos", "slot", "window", "v", "c", "deg")
 
 
 @query
@@ -477,10 +680,29 @@ def spanhash_fold(spark, d):
     return folds.ring_fold(folds.ring_terms(_book_messages(spark, d)).withColumn("chunk", F.expr("(pos - 1) div 512")), "chunk")
 
 
+@query
+def spanhash_merge(spark, d):
+    """Chunks from their halves: the fold of each half, merged by a shift in the ring."""
+    half = folds.ring_fold(folds.ring_terms(_book_messages(spark, d)).withColumns({"chunk": F.expr("(pos - 1) div 512"), "half": F.expr("(pos - 1) div 256")}), "chunk", "half")
+    return folds.composed(half.withColumnRenamed("half", "pos"), "chunk")
+
+
+def _day(spark, d) -> DataFrame:
+    return venue.digest(venue.window_records(book(spark, d)[1]), "slot", "window").withColumn("hash", venue.digest_hash())
+
+
 @query
 def day_chain(spark, d):
-    records = venue.digest(venue.window_records(book(spark, d)[1]), "slot", "window").withColumn("hash", venue.digest_hash())
-    return folds.chain(records)
+    return folds.chain(_day(spark, d))
+
+
+@query
+def day_verify(spark, d):
+    """The chain once in closed form and once window by window: slots, and slots that differ."""
+    shared(spark)
+    records = _day(spark, d).select("slot", "window", "hash").checkpoint()
+    both = folds.chain(records).join(folds.chain_in_order(records), "slot", "full")
+    return both.agg(F.count(F.lit(1)).alias("slots"), F.count_if(~F.col("chain").eqNullSafe(F.col("ordered"))).alias("differing"))
 
 
 @query
@@ -491,7 +713,7 @@ def state_digest(spark, d):
 @query
 def stream_arbitrate(spark, d):
     folder = shared(spark)
-    frames = D.encoded_feed(spark, d).withColumn("tape", F.lit("t"))
+    frames = tape_of(D.encoded_feed(spark, d), "main")
     frames.coalesce(1).write.parquet(f"{folder}/frames")  # one file is one micro-batch; batches come in arrival order
     stream = spark.readStream.schema(frames.schema).parquet(f"{folder}/frames")
     rows = windows.run_to_end(sequencer.stream(stream), folder)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 FEED = """
 p AS (SELECT event_id // 10 AS pkt, CAST(count(*) AS INTEGER) AS cnt FROM events GROUP BY 1),
+sch0 AS (
+    SELECT pkt, cnt, pkt <> 0 AND (pkt * 7919 + 13) % 1000 < 50 OR pkt BETWEEN 40 AND 42 AS lost_a, pkt <> 0 AND (pkt * 6271 + 101) % 1000 < 50 OR pkt BETWEEN 40 AND 42 AS lost_b FROM p
+),
 sch AS (
-    SELECT pkt, 0 AS feed, pkt * 10 + 1 AS first_seq, cnt, pkt * 10000 + ((pkt * 31) % 7) * 4000 AS vt,
-        pkt <> 0 AND ((pkt * 7919 + 13) % 1000 < 50 OR pkt BETWEEN 40 AND 42) AS lost FROM p
-    UNION ALL
-    SELECT pkt, 1, pkt * 10 + 1, cnt, pkt * 10000 + ((pkt * 17) % 11) * 5000, pkt <> 0 AND ((pkt * 6271 + 101) % 1000 < 50 OR pkt BETWEEN 40 AND 42) FROM p
+    SELECT pkt, 0 AS feed, pkt * 10 + 1 AS first_seq, cnt, pkt * 10000 + ((pkt * 31) % 7) * 4000 AS vt, lost_a AS lost FROM sch0
+    UNION ALL SELECT pkt, 1, pkt * 10 + 1, cnt, pkt * 10000 + ((pkt * 17) % 11) * 5000, lost_b FROM sch0
+    UNION ALL SELECT pkt, 2, pkt * 10 + 1, cnt, pkt * 10000 + 600000, NOT (lost_a AND lost_b) FROM sch0
 ),
 fr AS (SELECT row_number() OVER (ORDER BY vt, feed, first_seq) AS arrival, vt, feed, pkt, first_seq, cnt, first_seq + cnt - 1 AS last_seq FROM sch WHERE NOT lost),
 ms AS (SELECT arrival, feed, unnest(generate_series(first_seq, last_seq)) AS seq FROM fr),
@@ -38,6 +40,81 @@ miss AS (SELECT lag_seq + 1 AS from_seq, seq AS to_excl FROM (SELECT seq, coales
 req AS (SELECT from_seq + k * 65535 AS from_seq, least(65535, to_excl - from_seq - k * 65535) AS cnt FROM (SELECT *, unnest(generate_series(0, (to_excl - from_seq - 1) // 65535)) AS k FROM miss))
 """
 
+#: The feed without recovered copies: gaps that stay open.
+LOSSY = FEED.replace("WHERE NOT lost)", "WHERE NOT lost AND feed < 2)")
+
+# The window rule, frame by frame: a row is a tape's state after a frame, with what the frame did. fx has tape, n, feed, kind, bad, session, seq, cnt, size.
+STEPS = """
+step AS (
+    SELECT tape, CAST(0 AS BIGINT) AS n, '' AS sess, 'Init' AS st, CAST(0 AS BIGINT) AS w, false AS gap, CAST(0 AS BIGINT) AS ev, CAST(0 AS BIGINT) AS gen, CAST([] AS BIGINT[]) AS staged, '' AS op, '' AS st0, CAST(0 AS BIGINT) AS lo,
+        false AS fresh, '' AS bound, false AS flushed, false AS opens, false AS closes, CAST(0 AS BIGINT) AS put, CAST(0 AS BIGINT) AS gone, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS cnt, CAST(0 AS BIGINT) AS feed,
+        CAST(0 AS BIGINT) AS size, CAST(NULL AS BIGINT) AS bad FROM (SELECT DISTINCT tape FROM fx)
+    UNION ALL
+    SELECT tape, n, sess, CASE WHEN op = 'end' THEN CASE WHEN st0 = 'Ended' OR st0 = 'Init' OR w >= seq THEN 'Ended' ELSE 'EosPersist' END WHEN closes THEN 'Contig' WHEN opens THEN 'Gap' WHEN op = 'apply' AND st0 = 'Init' THEN 'Contig' ELSE st0 END,
+        w, (gap OR opens) AND NOT closes, CASE WHEN closes THEN 0 ELSE ev END, gen, staged, op, st0, lo, fresh, bound, flushed, opens, closes, put, gone, seq, cnt, feed, size, bad
+    FROM (
+        SELECT * EXCLUDE (w, staged, ev, gen), CASE WHEN op = 'apply' THEN seq + cnt + len(ready) ELSE w END AS w, CASE op WHEN 'apply' THEN kept[len(ready) + 1:] WHEN 'ahead' THEN list_distinct(list_concat(staged, range(seq, seq + put))) ELSE staged END AS staged,
+            ev1 AS ev, gen + CASE WHEN opens THEN 1 ELSE 0 END AS gen, (gap OR opens) AND op = 'apply' AND seq + cnt + len(ready) >= ev1 AS closes
+        FROM (
+            SELECT *, CASE WHEN op = 'apply' THEN list_filter(kept, lambda x, i: x - i = seq + cnt - 1) ELSE [] END AS ready,
+                CASE WHEN op = 'ahead' THEN greatest(0, least(seq + cnt, w + 1024) - seq) ELSE 0 END AS put, CASE WHEN op = 'ahead' THEN cnt - greatest(0, least(seq + cnt, w + 1024) - seq) ELSE 0 END AS gone,
+                greatest(CASE WHEN NOT evident THEN ev WHEN gap THEN greatest(ev, seq) ELSE seq END, CASE WHEN op = 'ahead' AND seq + cnt - 1 >= w + 1024 THEN seq + cnt ELSE 0 END) AS ev1, evident AND NOT gap AS opens
+            FROM (
+                SELECT *, CASE WHEN op = 'apply' AND st0 = 'Init' THEN seq ELSE w END AS lo, op = 'ahead' OR op = 'heartbeat' AND st0 NOT IN ('Init', 'Ended') AND seq > w AS evident,
+                    CASE WHEN op = 'apply' THEN list_sort(list_filter(staged, lambda x: x > seq + cnt - 1)) ELSE [] END AS kept
+                FROM (
+                    SELECT * EXCLUDE (st, staged, gap, ev, gen), CASE WHEN cut THEN 'fault' WHEN kind <> 'data' THEN kind WHEN st0 = 'Ended' THEN 'late' WHEN bad IS NOT NULL THEN 'fault' WHEN st0 <> 'Init' AND seq + cnt - 1 < w THEN 'dup' WHEN st0 = 'Init' OR seq <= w THEN 'apply' ELSE 'ahead' END AS op,
+                        CASE WHEN bound = '' THEN staged ELSE [] END AS staged, gap AND bound = '' AS gap, CASE WHEN bound = '' THEN ev ELSE 0 END AS ev, gen + CASE WHEN bound = '' THEN 0 ELSE 1 END AS gen, bound <> '' AND len(staged) > 0 AS flushed
+                    FROM (
+                        SELECT s.tape, f.n, CASE WHEN f.bad = 0 THEN s.sess ELSE f.session END AS sess, s.st, s.w, s.gap, s.ev, s.gen, s.staged, coalesce(f.bad = 0, false) AS cut, coalesce(f.bad, 1) <> 0 AND s.sess <> f.session AS fresh,
+                            CASE WHEN coalesce(f.bad, 1) <> 0 AND s.sess <> f.session AND s.sess <> '' THEN s.sess || '>' || f.session ELSE '' END AS bound, CASE WHEN coalesce(f.bad, 1) <> 0 AND s.sess <> f.session THEN 'Init' ELSE s.st END AS st0,
+                            f.kind, f.seq, f.cnt, f.feed, f.size, f.bad
+                        FROM step s JOIN fx f ON f.tape = s.tape AND f.n = s.n + 1
+                    )
+                )
+            )
+        )
+    )
+)
+"""
+ROUGH = FEED + """,
+rl AS (
+    SELECT *, NOT spared AND (pkt * 7919 + 13) % 1000 < 50 OR hole AS lost_a, NOT spared AND (pkt * 6271 + 101) % 1000 < 50 OR hole AS lost_b, CASE WHEN NOT hole OR tape % 3 = 0 THEN 600000 WHEN tape % 3 = 1 THEN 1200000 END AS late
+    FROM (SELECT pkt, cnt, pkt // 200 AS tape, pkt % 200 AS loc, pkt % 200 >= 150 AS second, (pkt % 200 - CASE WHEN pkt % 200 >= 150 THEN 150 ELSE 0 END) * 10 + 1 AS first_seq, pkt % 200 * 10000 + CASE WHEN pkt % 200 >= 150 THEN 2000000 ELSE 0 END AS base,
+        pkt % 200 BETWEEN 20 AND 21 AS hole, pkt % 200 IN (0, 150) AS spared FROM p)
+),
+rlast AS (SELECT tape, second, max(base) AS base, max(first_seq) AS first_seq, arg_max(cnt, loc) AS cnt FROM rl GROUP BY 1, 2),
+rx AS (
+    SELECT tape, base + (pkt * 31) % 7 * 4000 AS vt, 0 AS feed, 'data' AS kind, CAST(NULL AS BIGINT) AS bad, second, first_seq, cnt FROM rl WHERE NOT lost_a
+    UNION ALL SELECT tape, base + (pkt * 17) % 11 * 5000, 1, 'data', NULL, second, first_seq, cnt FROM rl WHERE NOT lost_b
+    UNION ALL SELECT tape, base + late, 2, 'data', NULL, second, first_seq, cnt FROM rl WHERE lost_a AND lost_b AND late IS NOT NULL
+    UNION ALL SELECT tape, base + 1, 0, 'data', (loc // 29 + tape) % 6, second, first_seq, cnt FROM rl WHERE loc % 29 = 13
+    UNION ALL SELECT tape, base + 5000, 1, 'heartbeat', NULL, second, first_seq + cnt, 0 FROM rl WHERE loc % 16 = 7
+    UNION ALL SELECT tape, base + 1500000 + k * 10000, f, 'end', NULL, second, first_seq + cnt, 65535 FROM rlast, range(3) a(k), range(2) b(f)
+    UNION ALL SELECT tape, base + 1600000, 0, 'data', NULL, second, first_seq, cnt FROM rlast WHERE second
+),
+rough AS (
+    SELECT printf('rough-%05d', tape) AS tape, row_number() OVER (PARTITION BY tape ORDER BY vt, feed, coalesce(bad, -1), kind, first_seq) AS n, feed, kind, bad, CASE WHEN second THEN 'TAPELOOM02' ELSE 'TAPELOOM01' END AS session, first_seq AS seq, cnt,
+        CASE WHEN kind <> 'data' THEN 20 WHEN bad = 0 THEN 12 ELSE 20 + 14 * cnt + CASE bad WHEN 1 THEN 1 WHEN 2 THEN -1 WHEN 5 THEN 2 ELSE 0 END END AS size FROM rx
+)
+"""
+OPEN = LOSSY + ", fx AS (SELECT 'open' AS tape, arrival AS n, feed, 'data' AS kind, CAST(NULL AS BIGINT) AS bad, 'TAPELOOM01' AS session, first_seq AS seq, cnt, 20 + 14 * cnt AS size FROM fr)"
+COUNTS = """SELECT tape, {names} FROM (
+    SELECT tape, count(*) FILTER (feed % 2 = 0) AS packets_0, count(*) FILTER (feed % 2 = 1) AS packets_1, count(*) FILTER (op = 'dup' AND feed % 2 = 0) AS dups_0, count(*) FILTER (op = 'dup' AND feed % 2 = 1) AS dups_1,
+        sum(size) FILTER (feed % 2 = 0) AS bytes_0, sum(size) FILTER (feed % 2 = 1) AS bytes_1, count(*) FILTER (op = 'fault' AND bad = 0) AS truncated, count(*) FILTER (op = 'fault' AND bad = 1) AS trailing_bytes,
+        count(*) FILTER (op = 'fault' AND bad = 2) AS block_overrun, count(*) FILTER (op = 'fault' AND bad = 4) AS seq_overflow, count(*) FILTER (op = 'fault' AND bad IN (3, 5)) AS payload_invalid, count(*) FILTER (op IN ('fault', 'late')) AS violations,
+        sum(put) AS staged_msgs, coalesce(sum(CASE op WHEN 'dup' THEN cnt WHEN 'apply' THEN lo - seq END), 0) AS dup_msgs, sum(gone) AS beyond_window_dropped, count(*) FILTER (flushed) AS window_flushed, count(*) FILTER (opens) AS gap_opens,
+        count(*) FILTER (closes) AS reanchors, count(*) FILTER (op = 'heartbeat') AS heartbeats, count(*) FILTER (op = 'end' AND st0 NOT IN ('Ended', 'EosPersist')) AS eos_seen, count(*) FILTER (op = 'end' AND st0 IN ('Ended', 'EosPersist')) AS eos_dup,
+        count(*) FILTER (fresh) AS sessions, count(*) FILTER (op = 'late') AS data_after_eos, coalesce(sum(w - lo) FILTER (op = 'apply'), 0) AS msgs_emitted FROM step WHERE n > 0 GROUP BY 1)"""
+COUNTED = "packets_0 packets_1 dups_0 dups_1 bytes_0 bytes_1 truncated trailing_bytes block_overrun seq_overflow payload_invalid violations staged_msgs dup_msgs beyond_window_dropped window_flushed gap_opens reanchors heartbeats eos_seen eos_dup sessions data_after_eos msgs_emitted".split()
+COUNTS = COUNTS.format(names=", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in COUNTED))
+EVENTS = """evs AS (
+    SELECT tape, n, 0 AS k, 'SessionBoundary' AS event, CAST(NULL AS BIGINT) AS "from", CAST(NULL AS BIGINT) AS "to", gen - CASE WHEN opens THEN 1 ELSE 0 END AS gen, bound AS note FROM step WHERE bound <> ''
+    UNION ALL SELECT tape, n, 1, 'GapOpened', w, seq, gen, NULL FROM step WHERE opens
+    UNION ALL SELECT tape, n, 2, 'ReAnchored', w, NULL, gen, NULL FROM step WHERE closes
+    UNION ALL SELECT tape, n, 3, 'EndOfSession', w, seq, gen, NULL FROM step WHERE op = 'end' AND st = 'Ended' AND st0 <> 'Ended'
+)"""
+
 BOOK = """
 o AS (
     SELECT o_orderkey AS k, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day, CAST(o_custkey % 64 AS INTEGER) AS locate, CAST(round(o_totalprice * 100) AS BIGINT) AS total FROM orders
@@ -105,7 +182,6 @@ sm AS (
         event_id % 64 AS batch_pos, 64 AS batch_size FROM events
 )
 """
-SLOT = "CAST(((locate::HUGEINT * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT // 16777216) % 8 AS INTEGER)"
 ROT = lambda x, k: f"((({x})::BIT << {k}) | (({x})::BIT >> {64 - k}))"
 
 
@@ -113,11 +189,68 @@ def q(ctes: str, select: str) -> str:
     return f"WITH {ctes} {select}"
 
 
+def qr(ctes: str, select: str) -> str:
+    return f"WITH RECURSIVE {ctes} {select}"
+
+
+RX = ROUGH + ", fx AS (SELECT * FROM rough)," + STEPS
+OX = OPEN + "," + STEPS
+
+SLOT = "CAST(((locate::HUGEINT * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT // 16777216) % 8 AS INTEGER)"
+
+# Messages as hex digits, and as bytes.
+MSG = BOOK + """,
+mh AS (
+    SELECT pos, type, locate, hex(type) || printf('%04X', locate) || '0000' || printf('%012X', CAST(day AS BIGINT) * 1000) || printf('%016X', order_ref) || CASE type
+        WHEN 'A' THEN hex(side) || printf('%08X', q) || hex(rpad('SYM' || locate, 8, ' ')) || printf('%08X', px) WHEN 'E' THEN printf('%08X', q) || printf('%016X', pos) WHEN 'C' THEN printf('%08X', q) || printf('%016X', pos) || hex(printable) || printf('%08X', px)
+        WHEN 'X' THEN printf('%08X', q) WHEN 'D' THEN '' ELSE printf('%016X', new_ref) || printf('%08X', q) || printf('%08X', px) END AS h FROM t
+),
+mb AS (SELECT *, length(h) // 2 AS size, list_transform(range(0, length(h) // 2), lambda i: 16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1) AS b FROM mh),
+mv AS (SELECT *, list_reduce(list_transform(b, lambda x: CAST(x AS UHUGEINT)), lambda c, x: c * 256 + x) AS whole, flatten(list_transform(b, lambda x: list_transform(range(8), lambda k: (x >> k) & 1))) AS bits FROM mb)
+"""
+M64, GOLD = "18446744073709551616::UHUGEINT", "11400714819323198485::UHUGEINT"
+U = lambda x: f"CAST((CAST({x} AS HUGEINT) + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT AS UHUGEINT)"
+S64 = lambda x: f"CAST(CASE WHEN {x} >= 9223372036854775808::UHUGEINT THEN CAST({x} AS HUGEINT) - 18446744073709551616::HUGEINT ELSE CAST({x} AS HUGEINT) END AS BIGINT)"
+TURN = lambda x, k: f"((({x}) * {1 << k}::UHUGEINT) % {M64} + (({x}) >> {64 - k}::UHUGEINT))"
+LOW = lambda x: f"(({x}) % {M64})"
+HIGH = lambda x: f"(({x}) >> 64::UHUGEINT)"
+TIMES27 = lambda x: f"xor(xor({x}, ({x}) * 2), xor(({x}) * 8, ({x}) * 16))"  # x^4 + x^3 + x + 1 times a polynomial below x^124
+
+
+def _nibbles() -> str:
+    """CRC32C of each half byte, as a list."""
+    out = list(range(16))
+    for _ in range(4):
+        out = [x >> 1 ^ (x & 1) * 0x82F63B78 for x in out]
+    return "[" + ", ".join(f"{x}::UHUGEINT" for x in out) + "]"
+
+
+#: A polynomial below x^124 modulo the ring's: its top folded down, where it is below x^60.
+RING = lambda x: f"xor({LOW(x)}, {TIMES27(HIGH(x))})"
+STEP = f"lambda h, e: xor({RING(f'h * (1::UHUGEINT << (e >> 64::UHUGEINT))')}, e % {M64})"  # h x^weight + value, weights below 60; e is weight and value
+CRC = "list_reduce(bits, lambda c, x: xor(c >> 1, xor(c & 1, x) * 2197175160), 0::BIGINT)"  # raw CRC32C from 0
+TIMES = lambda a, key, bits: f"list_reduce(list_transform(range({bits}), lambda k: CASE WHEN (({a}) >> k) & 1 = 1 THEN {key}::UHUGEINT * (1::UHUGEINT << CAST(k AS UHUGEINT)) ELSE 0::UHUGEINT END), lambda c, x: xor(c, x))"
+WORD = lambda first: f"list_reduce(list_transform(range(8), lambda i: CAST(b[{first} + i] AS UHUGEINT) * (1::UHUGEINT << CAST(8 * i AS UHUGEINT))), lambda c, x: c + x)"  # little-endian
+SPANS = MSG + f""",
+sp0 AS (SELECT pos, locate, size, {CRC} AS crc FROM mv),
+sp AS (SELECT pos, {SLOT} AS slot, (pos - 1) // 512 AS "window", size, {RING(f"xor({TIMES('crc', '11400714819323198485', 32)}, {TIMES('size', '17061556233160761302', 6)})")} AS v FROM sp0)
+"""
+TERMS = MSG + f""",
+wt AS (SELECT pos, (pos - 1) // 512 AS chunk, CASE type WHEN 'A' THEN 36 WHEN 'E' THEN 31 WHEN 'C' THEN 36 WHEN 'X' THEN 23 WHEN 'D' THEN 19 ELSE 35 END AS w,
+    xor(xor({WORD('1')}, {TURN(WORD('size - 7'), 29)}), CAST(ascii(type) AS UHUGEINT) * (1::UHUGEINT << 56::UHUGEINT)) AS v FROM mb)
+"""
+FOLDED = lambda v, w: f"""{S64(f"list_reduce(list(CAST({w} AS UHUGEINT) * {M64} + {v} ORDER BY pos), {STEP}, 0::UHUGEINT)")} AS v, CAST(sum({w}) AS BIGINT) AS deg, count(*) AS cnt, {S64(f"list_reduce(list(CAST({w} AS UHUGEINT) * {M64} ORDER BY pos), {STEP}, 1::UHUGEINT)")} AS c"""
+DAY = TOKENS + f""",
+dg AS (SELECT {SLOT} AS slot, (pos - 1) // 512 AS "window", bit_xor(xor(pos * 2654435761, px)) AS v, bit_xor(pos * 40503 + locate) AS c, CAST(sum(db) AS BIGINT) AS db, CAST(sum(da) AS BIGINT) AS da, CAST(sum(length(type)) AS BIGINT) AS deg, count(*) AS cnt FROM tok GROUP BY 1, 2),
+dh AS (SELECT *, xor(xor(xor(xor(xor({U('v')}, {TURN(U('c'), 17)}), {TURN(U('db'), 31)}), {TURN(U('da'), 47)}), CAST(deg AS UHUGEINT) * 4294967296), CAST(cnt AS UHUGEINT)) AS hash FROM dg)
+"""
+
+
 SQL = {
     "feed_schedule": q(FEED, "SELECT arrival, vt, feed, first_seq, cnt AS count FROM fr"),
-    "frame_header_decode": q(FEED, "SELECT arrival, 'NFTESTSESS' AS session, first_seq AS seq, cnt AS count, 'data' AS kind, last_seq FROM fr"),
+    "frame_header_decode": q(FEED, "SELECT arrival, 'TAPELOOM01' AS session, first_seq AS seq, cnt AS count, 'data' AS kind, last_seq FROM fr"),
     "frame_parse_messages": q(FEED, "SELECT arrival, feed, seq, 12 AS size, seq AS carried FROM ms"),
-    "request_encode": q(FEED, "SELECT from_seq, cnt AS count, upper(hex('NFTESTSESS')) || printf('%016X', from_seq) || printf('%04X', cnt) AS request FROM req"),
+    "request_encode": q(LOSSY, "SELECT from_seq, cnt AS count, upper(hex('TAPELOOM01')) || printf('%016X', from_seq) || printf('%04X', cnt) AS request FROM req"),
     "itch_decode_header": q(BOOK, "SELECT pos, type, locate, 0 AS tracking, day * 1000 AS ts_ns FROM t"),
     "itch_decode_add": q(BOOK, "SELECT pos, order_ref, side, q AS shares, px AS price, 'SYM' || locate AS stock FROM t WHERE type = 'A'"),
     "itch_decode_exec": q(BOOK, "SELECT pos, type, order_ref, q AS shares, pos AS match_number, CASE WHEN type = 'C' THEN printable END AS printable, CASE WHEN type = 'C' THEN px END AS price FROM t WHERE type IN ('E', 'C')"),
@@ -127,29 +260,29 @@ SQL = {
     "type_histogram": q(BOOK, "SELECT type, n, CAST((20000 * n + total) // (2 * total) AS BIGINT) AS basis_points FROM (SELECT type, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM t GROUP BY 1)"),
     "feed_union_dedup": q(FEED, "SELECT seq, arrival, feed FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY arrival) AS n FROM ms) WHERE n = 1"),
     "arb_emitted": q(FEED, "SELECT seq, first_arrival, emit_arrival, staged FROM em"),
-    "arb_sequencer": q(FEED, "SELECT seq, emit_arrival AS arrival, coalesce((SELECT max(gen) FROM ev WHERE event = 'GapOpened' AND ev.arrival <= em.emit_arrival), 0) AS gen FROM em"),
-    "arb_eras": q(FEED, "SELECT seq, emit_arrival, coalesce((SELECT max(gen) FROM ev WHERE event = 'GapOpened' AND ev.arrival <= em.emit_arrival), 0) AS gen FROM em"),
+    "arb_sequencer": q(FEED, "SELECT seq, emit_arrival AS arrival, CAST(coalesce((SELECT max(gen) FROM ev WHERE event = 'GapOpened' AND ev.arrival <= em.emit_arrival), 0) AS BIGINT) AS gen FROM em"),
+    "arb_eras": q(FEED, "SELECT seq, emit_arrival, CAST(coalesce((SELECT max(gen) FROM ev WHERE event = 'GapOpened' AND ev.arrival <= em.emit_arrival), 0) AS BIGINT) AS gen FROM em"),
     "arb_watermark_by_packet": q(FEED, "SELECT arrival, CAST(w_before AS BIGINT) AS w_before, CAST(w_after AS BIGINT) AS w_after FROM wm"),
     "arb_packet_class": q(FEED, "SELECT arrival, feed, class, CAST(dup_msgs AS BIGINT) AS dup_msgs FROM cd"),
     "arb_gap_events": q(FEED, 'SELECT arrival, event, CAST("at" AS BIGINT) AS "at", ahead, CAST(gen AS BIGINT) AS gen FROM ev'),
     "arb_counters": q(
         FEED,
-        """SELECT count(*) FILTER (feed = 0) AS packets_a, count(*) FILTER (feed = 1) AS packets_b, count(*) FILTER (feed = 0 AND class = 'duplicate') AS dups_a, count(*) FILTER (feed = 1 AND class = 'duplicate') AS dups_b,
+        """SELECT count(*) FILTER (feed % 2 = 0) AS packets_a, count(*) FILTER (feed % 2 = 1) AS packets_b, count(*) FILTER (feed % 2 = 0 AND class = 'duplicate') AS dups_a, count(*) FILTER (feed % 2 = 1 AND class = 'duplicate') AS dups_b,
         CAST(sum(dup_msgs) AS BIGINT) AS dup_msgs, CAST(1 AS BIGINT) AS sessions, (SELECT count(*) FROM em) AS msgs_emitted, CAST(coalesce(sum(cnt) FILTER (class = 'ahead'), 0) AS BIGINT) AS staged_msgs,
-        (SELECT count(*) FROM ev WHERE event = 'GapOpened') AS gap_opens, (SELECT count(*) FROM ev WHERE event = 'ReAnchored') AS reanchors FROM cd""",
+        (SELECT count(*) FROM ev WHERE event = 'GapOpened') AS gap_opens, (SELECT count(*) FROM ev WHERE event = 'ReAnchored') AS reanchors, count(*) FILTER (last_seq >= coalesce(w_before, first_seq) + 1024) AS beyond_window FROM cd""",
     ),
     "arb_sessions": q(
         FEED + """, h AS (SELECT (max(pkt) + 1) // 2 AS half FROM p),
-        f2 AS (SELECT pkt, feed, CASE WHEN pkt >= half THEN 'SPLITSESS2' ELSE 'NFTESTSESS' END AS session, CASE WHEN pkt >= half THEN first_seq - half * 10 ELSE first_seq END AS first_seq, CASE WHEN pkt >= half THEN vt + 10000000 ELSE vt END AS vt FROM sch, h WHERE NOT lost),
+        f2 AS (SELECT pkt, feed, CASE WHEN pkt >= half THEN 'TAPELOOM02' ELSE 'TAPELOOM01' END AS session, CASE WHEN pkt >= half THEN first_seq - half * 10 ELSE first_seq END AS first_seq, CASE WHEN pkt >= half THEN vt + 10000000 ELSE vt END AS vt FROM sch, h WHERE NOT lost),
         f3 AS (SELECT *, row_number() OVER (ORDER BY vt, feed, session, first_seq) AS arrival FROM f2),
         f4 AS (SELECT *, CASE WHEN lag(session) OVER (ORDER BY arrival) <> session THEN 1 ELSE 0 END AS ch FROM f3),
         f5 AS (SELECT *, CAST(sum(ch) OVER (ORDER BY arrival) AS INTEGER) AS session_epoch FROM f4)""",
         "SELECT session_epoch, any_value(session) AS session, count(*) AS packets, min(arrival) AS first_arrival, arg_min(first_seq, arrival) AS anchor FROM f5 GROUP BY 1",
     ),
-    "arb_missing_ranges": q(FEED, "SELECT from_seq, to_excl FROM miss"),
-    "recovery_requests": q(FEED, "SELECT from_seq, cnt AS count FROM req"),
-    "recovery_served": q(FEED, "SELECT from_seq, event_id + 1 AS seq FROM req JOIN events ON event_id + 1 >= from_seq AND event_id + 1 < from_seq + cnt"),
-    "recovery_fixpoint": "SELECT event_id + 1 AS seq FROM events WHERE event_id <= (SELECT max(l) FROM (SELECT max(last_seq) - 1 AS l FROM (WITH " + FEED + " SELECT last_seq FROM fr)))",
+    "arb_missing_ranges": q(LOSSY, "SELECT from_seq, to_excl FROM miss"),
+    "recovery_requests": q(LOSSY, "SELECT from_seq, cnt AS count FROM req"),
+    "recovery_served": q(LOSSY, "SELECT from_seq, event_id + 1 AS seq FROM req JOIN events ON event_id + 1 >= from_seq AND event_id + 1 < from_seq + cnt"),
+    "recovery_fixpoint": "SELECT event_id + 1 AS seq FROM events WHERE event_id <= (SELECT max(l) FROM (SELECT max(last_seq) - 1 AS l FROM (WITH " + LOSSY + " SELECT last_seq FROM fr)))",
     "conformance_check": q(FEED, "SELECT count(*) AS n_messages, CAST(0 AS BIGINT) AS violations FROM em"),
     "triple_equality": "SELECT CAST(0 AS BIGINT) AS left_only, CAST(0 AS BIGINT) AS right_only",
     "event_grammar": q(
@@ -182,7 +315,90 @@ SQL = {
         FROM (SELECT *, CASE WHEN type = 'A' THEN 1 ELSE -1 END AS s FROM t WHERE type IN ('A', 'E', 'C', 'X')) WINDOW w AS (ORDER BY pos)) GROUP BY 1)""",
     ),
     "best_price": q(BOOK, "SELECT max(px) FILTER (type = 'A') AS best_px FROM t"),
-    "symbol_enrich": q(TOKENS, "SELECT n_name AS symbol, CAST(sum(db) AS BIGINT) AS bid, CAST(sum(da) AS BIGINT) AS ask FROM tok JOIN nation ON locate % 25 = n_nationkey GROUP BY 1"),
+    "symbol_enrich": q(TOKENS, "SELECT rtrim(substr(n_name, 1, 8)) AS symbol, CAST(sum(db) AS BIGINT) AS bid, CAST(sum(da) AS BIGINT) AS ask FROM tok JOIN nation ON locate % 25 = n_nationkey GROUP BY 1"),
+    "itch_decode_directory": "SELECT CAST(n_nationkey AS INTEGER) AS locate, CAST(n_nationkey * 1000 AS BIGINT) AS ts_ns, rtrim(substr(n_name, 1, 8)) AS stock, 'Q' AS market_category, 'N' AS financial_status, CAST((n_nationkey + 1) * 100 AS BIGINT) AS round_lot_size, CASE WHEN n_nationkey % 2 = 0 THEN 'Y' ELSE 'N' END AS round_lots_only, '' AS issue_classification, CAST(n_nationkey % 4 AS BIGINT) AS etp_leverage, 'N' AS inverse_indicator FROM nation",
+    "itch_decode_system": "SELECT CAST(event_id % 7 AS INTEGER) AS tracking, event_id * 1000003 AS ts_ns, substr('OSQMEC', CAST(event_id % 6 + 1 AS INTEGER), 1) AS event_code FROM events",
+    "itch_decode_attributed": "SELECT o_orderkey AS order_ref, CAST(o_custkey % 64 AS INTEGER) AS locate, CASE WHEN o_orderkey % 2 = 0 THEN 'B' ELSE 'S' END AS side, 1 + (o_orderkey * 37) % 200 AS shares, 'SYM' || (o_custkey % 64) AS stock, CAST(round(o_totalprice * 100) AS BIGINT) AS price, 'M' || (o_orderkey % 100) AS mpid FROM orders",
+    "arb_agreement": q(FEED, "SELECT count(*) AS n_messages, CAST(0 AS BIGINT) AS differing FROM em"),
+    "arb_open_gap": q(LOSSY, "SELECT seq, first_arrival, emit_arrival FROM em"),
+    "arb_exact": qr(
+        RX,
+        """SELECT 'main' AS tape, seq, emit_arrival AS arrival, CAST(coalesce((SELECT max(gen) FROM ev WHERE event = 'GapOpened' AND ev.arrival <= em.emit_arrival), 0) AS BIGINT) AS gen FROM em
+        UNION ALL SELECT tape, unnest(range(lo, w)), n, gen FROM step WHERE op = 'apply'""",
+    ),
+    "arb_rough_counters": qr(RX, COUNTS),
+    "arb_open_counters": qr(OX, COUNTS),
+    "arb_rough_events": qr(RX + "," + EVENTS, 'SELECT tape, n AS arrival, event, "from", "to", gen, note FROM evs'),
+    "event_grammar_full": qr(
+        RX + "," + EVENTS,
+        """SELECT tape, count(*) FILTER (event = 'GapOpened') AS "GapOpened", count(*) FILTER (event = 'ReAnchored') AS "ReAnchored", count(*) FILTER (event = 'SessionBoundary') AS "SessionBoundary", count(*) FILTER (event = 'EndOfSession') AS "EndOfSession",
+        count(*) FILTER (event = 'GapOpened' AND before = 'GapOpened' OR event = 'ReAnchored' AND coalesce(before, '') <> 'GapOpened' OR event = 'EndOfSession' AND before = 'EndOfSession' OR era > gen) AS violations
+        FROM (SELECT *, lag(event) OVER o AS before, lag(gen) OVER o AS era FROM evs WINDOW o AS (PARTITION BY tape ORDER BY n, k)) GROUP BY 1""",
+    ),
+    "frame_kinds": q(ROUGH, "SELECT tape, n AS arrival, session, CAST(cnt + CASE WHEN bad = 5 THEN 1 ELSE 0 END AS INTEGER) AS count, kind, CASE WHEN kind = 'data' AND coalesce(bad, 0) <> 4 THEN seq + cnt - 1 + CASE WHEN bad = 5 THEN 1 ELSE 0 END END AS last_seq FROM rough WHERE size >= 20"),
+    "frame_errors": q(
+        ROUGH,
+        """SELECT tape, kind, CASE bad WHEN 0 THEN 'Truncated' WHEN 1 THEN 'TrailingBytes' WHEN 2 THEN 'BlockOverrun' WHEN 3 THEN 'UnknownType' WHEN 4 THEN 'SeqOverflow' WHEN 5 THEN 'Empty' ELSE 'ok' END AS error, count(*) AS n,
+        CAST(sum(CASE WHEN kind <> 'data' OR bad IN (0, 1, 2, 4) THEN 0 WHEN bad = 5 THEN cnt + 1 ELSE cnt END) AS BIGINT) AS messages FROM rough GROUP BY 1, 2, 3""",
+    ),
+    "recovery_faults": q(
+        LOSSY + """, sv AS (SELECT from_seq, event_id + 1 AS seq, dense_rank() OVER (ORDER BY from_seq) AS nth FROM req JOIN events ON event_id + 1 >= from_seq AND event_id + 1 < from_seq + cnt),
+        fa0 AS (
+            SELECT 'ok-0' AS fault, seq, 0 AS wait_ns, true AS usable FROM sv UNION ALL SELECT 'delay-5000000', seq, 5000000, true FROM sv UNION ALL SELECT 'drop_request-2', seq, 0, true FROM sv WHERE nth > 2 UNION ALL SELECT 'drop_response-3', seq, 0, true FROM sv WHERE nth > 3
+            UNION ALL SELECT 'truncate-1', seq, 0, true FROM sv WHERE seq < from_seq + 1 UNION ALL SELECT 'truncate-4', seq, 0, true FROM sv WHERE seq < from_seq + 4 UNION ALL SELECT 'wrong_session-0', seq, 0, false FROM sv
+            UNION ALL SELECT 'duplicate_first-0', seq, 0, true FROM sv UNION ALL SELECT 'duplicate_first-0', seq, 0, true FROM sv WHERE seq = from_seq
+        )""",
+        "SELECT fault, count(*) AS served, count(DISTINCT CASE WHEN usable THEN seq END) AS usable, CAST(max(wait_ns) AS BIGINT) AS wait_ns FROM fa0 GROUP BY 1",
+    ),
+    "setter_tags": q(
+        TOKENS,
+        """SELECT chunk, CAST(max(so_far) AS BIGINT) AS bytes, CAST(coalesce(max(so_far) FILTER (seq > 0) % 65536, -1) AS BIGINT) AS tag FROM (SELECT (pos - 1) // 512 AS chunk, seq,
+        sum(CASE type WHEN 'A' THEN 36 WHEN 'E' THEN 31 WHEN 'C' THEN 36 WHEN 'X' THEN 23 WHEN 'D' THEN 19 ELSE 35 END) OVER (PARTITION BY (pos - 1) // 512 ORDER BY pos) AS so_far FROM tok) GROUP BY 1""",
+    ),
+    "book_from_feed": q(TOKENS, "SELECT pos, type, locate, seq, px, db, da, anomaly, clamped FROM tok"),
+    "book_bake_audit": q(BOOK, "SELECT count(*) AS baked, CAST(0 AS BIGINT) AS baked_only, CAST(0 AS BIGINT) AS again_only FROM t"),
+    "merged_windows": q(DAY.replace(f"{SLOT} AS slot, ", "").replace("GROUP BY 1, 2)", "GROUP BY 1)"), f'SELECT "window", cnt, {S64("hash")} AS hash FROM dh'),
+    "span_slot_windows": q(SPANS, f'SELECT slot, "window", {FOLDED("v", "size")} FROM sp GROUP BY 1, 2'),
+    "span_window_merge": q(SPANS, f'SELECT "window", CAST(sum(cnt) AS BIGINT) AS cnt, CAST(sum(deg) AS BIGINT) AS deg, bit_xor(v) AS v, bit_xor(c) AS c FROM (SELECT slot, "window", {FOLDED("v", "size")} FROM sp GROUP BY 1, 2) GROUP BY 1'),
+    "span_supers": q(SPANS, f"SELECT slot, {FOLDED('v', 'size')} FROM sp GROUP BY 1"),
+    "span_crc": q(SPANS, f'SELECT pos, slot, "window", {S64("v")} AS v, CAST(1 AS BIGINT) << CAST(size AS INTEGER) AS c, size AS deg FROM sp'),
+    "spanhash_fold": q(TERMS, f"SELECT chunk, {FOLDED('v', 'w')} FROM wt GROUP BY 1"),
+    "spanhash_merge": q(TERMS, f"SELECT chunk, {FOLDED('v', 'w')} FROM wt GROUP BY 1"),
+    "crc_subtract": q(MSG, f"SELECT pos, CAST({CRC} AS BIGINT) AS crc FROM mv"),
+    "rot_fold": q(BOOK, f"""SELECT count(*) AS n, {S64(f"list_reduce(list({LOW('CAST(order_ref AS UHUGEINT) * ' + GOLD)} ORDER BY pos), lambda h, x: xor({TURN('h', 13)}, x), 14695981039346656037::UHUGEINT)")} AS fold FROM t"""),
+    "golden_fnv": q(
+        MSG,
+        f"""SELECT part, n_messages, {S64(f'list_reduce(bytes, lambda h, x: (xor(h, x) * 1099511628211::UHUGEINT) % {M64}, 14695981039346656037::UHUGEINT)')} AS golden,
+        {S64(f'(list_reduce(stream, lambda s, x: CASE WHEN x < 16 THEN (s >> 32::UHUGEINT) * 4294967296 + xor((s % 4294967296) >> 4::UHUGEINT, {_nibbles()}[CAST(xor(s % 16, x) AS BIGINT) + 1]) WHEN x = 16 THEN (s >> 32::UHUGEINT) * 4294967296 + xor((s >> 32::UHUGEINT) % 4294967296, 4294967295) ELSE xor({TURN("(s >> 32::UHUGEINT)", 7)}, {LOW("xor(s % 4294967296, 4294967295::UHUGEINT) * " + GOLD)}) * 4294967296 END, 14695981039346656037::UHUGEINT * 4294967296) >> 32::UHUGEINT)')} AS fast
+        FROM (SELECT (pos - 1) // 128 AS part, count(*) AS n_messages, list_transform(flatten(list(list_concat([size % 256, size // 256], b) ORDER BY pos)), lambda x: CAST(x AS UHUGEINT)) AS bytes,
+            list_transform(flatten(list(list_concat(list_concat([16], flatten(list_transform(b, lambda x: [x % 16, x // 16]))), [17]) ORDER BY pos)), lambda x: CAST(x AS UHUGEINT)) AS stream FROM mv GROUP BY 1)""",
+    ),
+    "day_chain": q(DAY, f"""SELECT slot, {S64(f"list_reduce(list(hash ORDER BY {chr(34)}window{chr(34)}), lambda h, x: xor({RING(TIMES27('h'))}, x), 0::UHUGEINT)")} AS chain, count(*) AS windows FROM dh GROUP BY 1"""),
+    "day_verify": q(DAY, "SELECT count(DISTINCT slot) AS slots, CAST(0 AS BIGINT) AS differing FROM dh"),
+    "state_digest": q(
+        TOKENS,
+        f"""SELECT {S64("xor(y, y >> 33::UHUGEINT)")} AS digest FROM (SELECT {LOW("xor(x, x >> 33::UHUGEINT) * 18397679294719823053::UHUGEINT")} AS y FROM (SELECT CAST(bit_xor(CAST(m AS UBIGINT)) AS UHUGEINT) AS x FROM (
+        SELECT xor(xor({LOW("w0 * 72057594054705153::UHUGEINT")}, {LOW("w1 * " + GOLD)}), {TURN("w2", 47)}) AS m FROM (
+        SELECT xor(xor({U("db")}, {TURN(U("da"), 17)}), {TURN(U("px"), 31)}) AS w0, xor({U("seq")}, {LOW("CAST(l AS UHUGEINT) * " + GOLD)}) AS w1, xor(xor({U("db")}, {TURN(U("da"), 13)}), {TURN(U("px"), 41)}) AS w2 FROM (
+        SELECT CAST(sum(db) AS BIGINT) AS db, CAST(sum(da) AS BIGINT) AS da, coalesce(arg_max(px, seq) FILTER (seq > 0), 0) AS px, max(seq) AS seq, row_number() OVER (ORDER BY min(pos)) - 1 AS l FROM tok GROUP BY locate)))))""",
+    ),
+    "lane_overlap": q(FEED, "SELECT CAST(least(60, ceil(count(*))) - least(10, count(*)) AS BIGINT) AS spans FROM p"),
+    "histogram_percentiles": q(
+        SAMPLES,
+        """SELECT p, CAST(min(bucket) AS INTEGER) AS bucket, min(CASE WHEN bucket < 1024 THEN bucket WHEN bucket < 2048 THEN (1 << (10 + (bucket - 1024) // 64)) + ((bucket - 1024) % 64) * (1 << (10 + (bucket - 1024) // 64)) // 64 ELSE 67108864 END) AS edge FROM (
+        SELECT bucket, sum(n) OVER (ORDER BY bucket) AS run, sum(n) OVER () AS al FROM (SELECT CAST(CASE WHEN latency < 1024 THEN latency WHEN lg < 26 THEN 1024 + (lg - 10) * 64 + (((latency - (1 << lg)) << 6) >> lg) ELSE 2048 END AS BIGINT) AS bucket, count(*) AS n
+        FROM (SELECT *, length(bin(latency)) - 1 AS lg FROM sm) GROUP BY 1)), (VALUES (50.0::DOUBLE), (90.0), (99.0)) v(p) WHERE run >= ceil(al * p / 100) GROUP BY 1""",
+    ),
+    "gate_verdicts": q(
+        SAMPLES,
+        """SELECT pt AS p, latency AS x, CASE WHEN latency < 2000 THEN 'PASS' ELSE 'FAIL' END AS below_2000, CASE WHEN latency >= 1000 THEN 'PASS' ELSE 'FAIL' END AS from_1000
+        FROM (SELECT latency, row_number() OVER (ORDER BY latency) - 1 AS i, count(*) OVER () AS n FROM sm), (VALUES (50), (90), (99), (100)) v(pt) WHERE i = least(n * pt // 100, n - 1)""",
+    ),
+    "audit_report": q(
+        BOOK,
+        """SELECT CAST(row_number() OVER (ORDER BY n DESC, type) AS INTEGER) AS line, printf('%s %12d %6.2f%%', type, n, ((20000 * n + total) // (2 * total)) / 100) AS text FROM (SELECT type, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM t GROUP BY 1)
+        UNION ALL SELECT CAST(count(DISTINCT type) + 1 AS INTEGER), printf('%d messages of %d types', count(*), count(DISTINCT type)) FROM t""",
+    ),
     "slot_demux": f"SELECT DISTINCT CAST(o_custkey % 64 AS INTEGER) AS locate, {SLOT.replace('locate', '(o_custkey % 64)')} AS slot FROM orders",
     "window_digest_commutative": q(
         TOKENS, 'SELECT (pos - 1) // 512 AS "window", bit_xor(xor(pos * 2654435761, px)) AS v, bit_xor(pos * 40503 + locate) AS c, CAST(sum(db) AS BIGINT) AS db, CAST(sum(da) AS BIGINT) AS da, CAST(sum(length(type)) AS BIGINT) AS deg, count(*) AS cnt FROM tok GROUP BY 1'

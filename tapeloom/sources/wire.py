@@ -80,6 +80,20 @@ def parse_frames(frames: DataFrame) -> DataFrame:
     return frames.select("arrival", "feed", "frame").mapInArrow(run, "arrival bigint, feed int, session string, seq decimal(20,0), count int, kind string, error string, blocks array<binary>")
 
 
+def parse_headers(frames: DataFrame) -> DataFrame:
+    """frames (tape, arrival, feed, frame) as packets without their blocks: tape, arrival, feed, session, seq, count, kind, error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [parse(x or b"") for x in b.column("frame").to_pylist()]
+            kinds = (pa.string(), pa.decimal128(20, 0), pa.string(), pa.string(), pa.int32())
+            parts = zip(*((f[0], f[1], f[2], f[3], len(f[4])) for f in found), strict=True) if found else [[]] * 5
+            session, seq, kind, error, count = (pa.array(list(x), t) for x, t in zip(parts, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([b.column("tape"), b.column("arrival"), b.column("feed"), session, seq, count, kind, error], names=["tape", "arrival", "feed", "session", "seq", "count", "kind", "error"])
+
+    return frames.select("tape", "arrival", "feed", "frame").mapInArrow(run, "tape string, arrival bigint, feed int, session string, seq decimal(20,0), count int, kind string, error string")
+
+
 def messages(packets: DataFrame) -> DataFrame:
     """One row for each message of valid data packets: arrival, feed, session, seq, msg."""
     rows = packets.where("kind = 'data' AND error IS NULL").select("arrival", "feed", "session", F.col("seq").cast("bigint").alias("first"), F.posexplode("blocks").alias("i", "msg"))
@@ -120,6 +134,16 @@ def audit(tape: DataFrame, msg: str = "msg") -> DataFrame:
     return rows.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
 
 
+def report(histogram: DataFrame) -> DataFrame:
+    """A histogram (type, n, basis_points; a row for each type) as numbered lines of text, the commonest type first, and a total."""
+    from pyspark.sql import Window
+
+    order = Window.orderBy(F.col("n").desc(), "type")
+    rows = histogram.select(F.row_number().over(order).alias("line"), F.format_string("%s %12d %6.2f%%", "type", "n", F.col("basis_points") / 100).alias("text"))
+    total = histogram.agg((F.count(F.lit(1)) + 1).cast("int").alias("line"), F.format_string("%d messages of %d types", F.sum("n"), F.count(F.lit(1))).alias("text"))
+    return rows.unionByName(total)
+
+
 class TapeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options.get("path", "").split(",") if p]

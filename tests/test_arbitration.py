@@ -211,3 +211,38 @@ def test_recovery_closes_dual_drops(spark, tmp_path):
     whole, dead = recovery.recover(packets, truth)
     assert not dead and sorted(r.seq for r in A.emitted(whole).collect()) == list(range(1, 61))
     assert recovery.recover(packets, truth.where("seq > 15"), rounds=2)[1]
+
+
+def test_the_clock_walks_through_silence_until_the_session_is_dead():
+    from tapeloom.streaming.sequencer import GRACE, REPEATS, Driven
+
+    own = Driven()
+    for k, (vt, f) in enumerate([(0, frame(1, 5)), (1000, frame(11, 5)), (10 * GRACE, frame(16, 5))], 1):
+        own.ingest(k, 0, vt, f)
+    # The first evaluation after QUIET of no progress is at the third frame; nothing was pending before, so the clock didn't walk.
+    assert [i[:4] for i in own.intents] == [(3, 10 * GRACE, 6, 20)] and own.state == "Gap"
+    own.ingest(4, 0, 20 * GRACE, frame(21, 1))
+    asked = [(i[1], i[4]) for i in own.intents]
+    assert asked == [(10 * GRACE + k * GRACE, k) for k in range(REPEATS + 1)]
+    assert own.state == "Dead" and own.counts["ignored_after_dead"] == 1 and events(own)[-1] == "SessionDead"
+
+
+def test_exact_routing(spark, tmp_path):
+    """Tapes of the closed form and tapes past the window, against the sequencer."""
+    from tapeloom.operators import exact
+
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    tapes = {
+        "plain": [frame(1, 10), frame(21, 10), frame(11, 10), frame(11, 10)],
+        "far": [frame(1, 10), frame(21, 10), frame(1500, 10), frame(11, 10), frame(31, 1469), frame(1510, 2)],
+        "sessions": [frame(1, 5), frame(9, 2), frame(1, 3, "OTHERONE00")],
+        "bad": [frame(1, 5), frame(6, 5)[:-1], frame(6, 5)],
+        "beats": [frame(1, 5), frame(9, 0), frame(6, 5), frame(11, 0xFFFF)],
+    }
+    rows = [(t, k, k % 2, k * 1000, bytearray(f)) for t, fs in tapes.items() for k, f in enumerate(fs, 1)]
+    frames = spark.createDataFrame(rows, "tape string, arrival bigint, feed int, vt bigint, frame binary")
+    got = {tuple(r) for r in exact.emitted(frames).collect()}
+    assert got == {(t, r[2], r[0], r[4]) for t, fs in tapes.items() for r in run(fs).out if r[1] == "Message"}
+    assert {r.tape for r in exact.split(frames)[2].collect()} == {"far", "sessions", "bad", "beats"}
+    counts = {r.tape: r for r in __import__("tapeloom.streaming.sequencer", fromlist=["telemetry"]).telemetry(frames).collect()}
+    assert counts["far"].beyond_window_dropped == 10 and counts["bad"].block_overrun == counts["bad"].violations == 1

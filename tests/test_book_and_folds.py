@@ -174,3 +174,59 @@ def test_dead_replacements_in_a_long_chain(spark, monkeypatch):
     rows = [(i, "U", 1, None, 10, 100, None, i + 1, i + 2) for i in range(6)]  # the first one's order is unknown
     tape = spark.createDataFrame(rows, "pos bigint, type string, locate int, side string, q bigint, px bigint, printable string, order_ref bigint, new_ref bigint")
     assert not book.resolve(tape).where("role = 0 AND alive").count()
+
+
+def test_a_chain_of_replacements_longer_than_any_bound(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    # An order ends, then 9 replacements follow each other from it; each new reference is used once.
+    rows = [(1, "A", 0, None, "B", 10, 5, "Y", 0), (2, "D", 0, None, None, 0, 0, "Y", 0)]
+    for k in range(9):
+        rows += [(3 + 2 * k, "U", k, k + 1, None, 7, 5, "Y", 0), (4 + 2 * k, "X", k + 1, None, None, 1, 0, "Y", 0)]
+    got = {r.pos: r.anomaly for r in book.tokens(spark.createDataFrame(rows, TAPE)).collect()}
+    assert got == {pos: pos > 2 for pos in range(1, len(rows) + 1)}
+
+
+def test_sums_wrap(spark):
+    rows = spark.createDataFrame([(k, 0, 0, 0, 2**62, -(2**62) - k) for k in range(1, 6)], "pos bigint, locate int, seq bigint, px bigint, db bigint, da bigint")
+    wrapped = lambda x: (x + 2**63) % 2**64 - 2**63
+    one = book.signature(rows).first()
+    assert (one.db, one.da) == (wrapped(5 * 2**62), wrapped(-5 * 2**62 - 15))
+    assert book.chunk_states(rows).first().b == wrapped(5 * 2**62)
+    events = spark.createDataFrame([(k, "Add", 2**32 - 1, 2**32 - 1) for k in (1, 2, 3)], "i bigint, kind string, px bigint, qty bigint")
+    assert book.lob_states(events).first().pv == wrapped(3 * (2**32 - 1) ** 2)
+
+
+def test_messages_without_a_reference_leave_the_book_alone(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    rows = [(1, "S", None, None, None, None, None, None, 0), (2, "A", 1, None, "B", 5, 9, None, 0), (3, "H", None, None, None, None, None, None, 0)]
+    assert {(r.pos, r.db, r.seq) for r in book.tokens(spark.createDataFrame(rows, TAPE)).collect()} == {(1, 0, 0), (2, 5, 0), (3, 0, 0)}
+
+
+def test_rows_hash_like_single_messages():
+    rnd = random.Random(1)
+    data = [rnd.randbytes(rnd.choice([0, 1, 19, 36, 50, 64, 65, 130, 200])) for _ in range(300)]
+    assert H.crc_rows(data).tolist() == [H.crc_update(0, d) for d in data]
+    assert H.span_lanes_rows(data).tolist() == [H.span_lanes(d) for d in data]
+    seeds = np.full(60, H.FNV_SEED, np.uint64)
+    assert H.fnv_many(seeds, data[:60]).tolist() == [H.fnv(H.FNV_SEED, d) for d in data[:60]]
+    counts, at = np.array([100, 0, 80, 120]), 0
+    for n, got in zip(counts.tolist(), H.fast_many(seeds[:4], counts, data).tolist(), strict=True):
+        h = H.FNV_SEED
+        for m in data[at : at + n]:
+            h = H.fast_step(h, m)
+        at += n
+        assert h == got
+
+
+def test_folds_carry_a_key_over_slabs(spark, monkeypatch):
+    rnd = random.Random(2)
+    rows = [(k % 3, k, bytearray(rnd.randbytes(rnd.randrange(40)))) for k in range(300)]
+    frame = spark.createDataFrame(rows, "part int, pos bigint, msg binary")
+    monkeypatch.setattr(folds, "SLAB", 700)
+    got = {r.part: (r.n_messages, r.golden, r.fast) for r in folds.sequential(frame, ["part"]).collect()}
+    for part in range(3):
+        golden = fast = H.FNV_SEED
+        own = [bytes(m) for p, _, m in rows if p == part]
+        for m in own:
+            golden, fast = H.fnv(H.fnv(golden, len(m).to_bytes(2, "little")), m), H.fast_step(fast, m)
+        assert got[part] == (len(own), *H.signed([golden, fast]).tolist())
