@@ -232,6 +232,65 @@ def test_op6_odd_tables(spark, edge, empty, tmp_path):
     assert {r.score for r in none} == {1.0}
 
 
+def gaussian(x, mean, cov):
+    d = x - mean
+    return -0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1]
+
+
+def plain_model(x, label, setting):
+    """The discriminant by its definition, from the training rows themselves."""
+    pooled_share, diagonal, temperature = setting
+    own = {c: x[label == c] for c in (0, 1)}
+    pooled = sum((v - v.mean(0)).T @ (v - v.mean(0)) for v in own.values()) / len(x)
+    parts = {}
+    for c, v in own.items():
+        cov = (1 - pooled_share) * np.cov(v.T, bias=True) + pooled_share * pooled
+        parts[c] = v.mean(0), (1 - diagonal) * cov + diagonal * np.diag(np.diag(cov)) + quality.FLOOR * np.eye(x.shape[1])
+    odds = np.log(len(own[1]) / len(own[0]))
+    return lambda z: (gaussian(z, *parts[1]) - gaussian(z, *parts[0]) + odds) / temperature
+
+
+def test_op6_equals_a_plain_discriminant(spark):
+    """Every score of the query, its settings chosen by plain cross-validation."""
+    from pyspark.sql import functions as F
+
+    folder = "/root/testdata/sf0.01"
+    docs = {r.doc_id: np.array(quality.statistics((r.text or "").encode())) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{folder}/labels.parquet").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(quality.FOLDS))).collect()
+    rows = [(docs[r.doc_id], r.quality, r.part) for r in labels if r.quality in (0, 1) and r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    x, label, part = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    loss = []
+    for setting in quality.GRID:
+        total = 0.0
+        for own in set(part.tolist()):
+            z = plain_model(x[part != own], label[part != own], setting)(x[part == own])
+            total += np.logaddexp(0, np.where(label[part == own] == 1, -z, z)).sum()
+        loss.append(total)
+    chosen = quality.GRID[int(np.argmin(loss))]
+    model = plain_model(x, label, chosen)
+    got = {r.doc_id: (r.score, r.predicted) for r in queries.op6_quality(spark, folder).collect()}
+    assert set(got) == set(docs)
+    for doc, v in docs.items():
+        want = 1 / (1 + np.exp(-np.clip(model(v[None])[0], -500, 500)))
+        assert got[doc][0] == pytest.approx(want, abs=1e-6) and got[doc][1] == (got[doc][0] >= 0.7)
+
+
+def test_labels_that_are_no_classes_are_not_used(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    known = spark.read.parquet(f"{small}/labels.parquet").selectExpr("doc_id", "cast(quality as double) as quality")
+    odd = known.unionAll(docs.selectExpr("doc_id", "0.5D")).unionAll(docs.selectExpr("doc_id", "cast(null as double)"))
+    assert {tuple(r) for r in quality.classify(docs, odd).collect()} == {tuple(r) for r in quality.classify(docs, known).collect()}
+
+
+def test_repeated_rows_and_clashing_columns_get_equal_scores(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("*", "1 as x", "2 as score", "3 as part", "4 as label")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    rows = quality.classify(docs.unionAll(docs.where("doc_id < 20")), labels).where("doc_id < 20").collect()
+    assert len(rows) == 40 and len({(r.doc_id, r.score) for r in rows}) == 20
+    kept = quality.keep(docs, labels)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
 def test_discriminant_is_the_gaussian_one():
     rng = np.random.default_rng(0)
     x = {0: rng.normal(0, 1, (4000, 3)) @ np.diag([1, 2, 0.5]), 1: rng.normal(1, 1, (4000, 3))}
