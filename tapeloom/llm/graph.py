@@ -10,10 +10,18 @@ from tapeloom.llm.common import Scratch
 ROUNDS = 60
 
 
+#: Parts over which a node's pairs may spread.
+SALTS = 64
+
+
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v) plus m, the least of u and all its v. The least comes from a partial aggregate, so that a hub is summed where its rows are."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-    return pairs.join(least, F.col("u") == F.col("_u")).drop("_u")
+    """pairs (u, v) plus m, the least of u and all its v. A hub's pairs are dealt by u and a salt of v throughout: its least is
+    that of its parts' leasts, and goes back to those parts only."""
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))  # SALTS at most
+    least = least.select(F.col("u").alias("_u"), F.least("u", "m").alias("m"), F.explode("salts").alias("_salt"))
+    return dealt.join(least, (F.col("u") == F.col("_u")) & (F.col("salt") == F.col("_salt"))).drop("_u", "salt", "_salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
