@@ -64,3 +64,22 @@ def test_least_keys_beyond_memory(tmp_path, base, queue):
             first[t[i : i + SPAN]] = min(k, first.get(t[i : i + SPAN], k))
     for t, s in zip(texts, starts.tolist(), strict=True):
         assert [int(x) for x in least[s : s + len(t) - SPAN + 1]] == [first[t[i : i + SPAN]] for i in range(len(t) - SPAN + 1)]
+
+
+def test_an_ordinary_shard_spills_its_queues(tmp_path, monkeypatch):
+    """A full shard under the query's own limits, as in _answer_pieces."""
+    from tapeloom.llm import induced
+
+    spilled, old = [], induced.SpillQueue._spill
+    monkeypatch.setattr(induced.SpillQueue, "_spill", lambda self: spilled.append(1) or old(self))
+    rng = np.random.default_rng(5)
+    flat = rng.integers(97, 122, span_dedup.SHARD, dtype=np.uint8).tobytes()
+    texts = [flat[a : a + 305] for a in range(0, len(flat) - 305, 305)]
+    texts += [t[7:200] for t in texts[:500]]
+    keys = np.arange(len(texts))
+    least, starts = span_dedup.least_keys(texts, keys, str(tmp_path))
+    assert len(spilled) > 3
+    whole = len(texts) - 500
+    for n in range(whole, len(texts), 25):
+        own = least[starts[n] : starts[n] + len(texts[n]) - SPAN + 1]
+        assert (own == n - whole).all()
