@@ -220,21 +220,6 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-# Wide fingerprints: an estimate of the similarity, LANES fingerprints side by side over the same kind of index (32 byte
-# positions, LISTS triples of them drawn once). They decide nothing in the stage below.
-
-LANES, LISTS = 4, 160
-_POSITIONS = 8 * LANES
-SETS = np.array([p[:3] for p in (np.random.default_rng(n).permutation(_POSITIONS) for n in range(LISTS))])
-
-
-def most_bits(similarity: float) -> int:
-    """Differing bits of LANES fingerprints of two sets of this Jaccard similarity: the expected number and one standard
-    deviation more, so that some five in six pairs at just this similarity qualify, and nearly all above it."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(64 * LANES * share + (64 * LANES * share * (1 - share)) ** 0.5))
-
-
 def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
     """The sorted distinct hashes of the text's shingles."""
     own = text.translate(LOWER_TABLE).split()
@@ -252,53 +237,6 @@ def set_name(h: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(h.astype("<u8").tobytes())).view(np.int64))
 
 
-def wide_fingerprint(text: bytes, words: int = 5, seed: int = 42) -> bytes:
-    """LANES independent fingerprints of the set of the text's shingles."""
-    h = shingles(text, words, seed)
-    if not len(h):
-        return bytes(_POSITIONS)
-    return b"".join(np.packbits(2 * set_bits(mix64(h, lane).astype(">u8")) > len(h)).tobytes() for lane in range(LANES))
-
-
-def _wide_near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """Which of a (m, LANES) qualify with which of b (n, LANES)."""
-    x = a[:, None, :] ^ b[None, :, :]
-    tally = (x.view(np.uint8).reshape(len(a), len(b), _POSITIONS) == 0).sum(2, dtype=np.uint8)
-    out = tally >= SETS.shape[1]
-    out[out] = np.bitwise_count(x[out]).sum(1, dtype=np.int64) <= bits
-    return out
-
-
-def _wide_forest(nodes: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
-    """Links (pairs of nodes) that connect what the qualifying pairs connect."""
-    near = np.concatenate([_wide_near(fps[i : i + 64], fps, bits) for i in range(0, len(fps), 64)])
-    left, out = np.ones(len(fps), bool), []
-    for root in range(len(fps)):
-        if left[root]:
-            front = np.zeros(len(fps), bool)
-            front[root] = True
-            while front.any():
-                left &= ~front
-                front = near[front].any(0) & left
-                out += [(root, i) for i in np.flatnonzero(front).tolist()]
-    return nodes[np.array(out, np.int64).reshape(-1, 2)]
-
-
-def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (list, node) sorted by list: those of lists with two members or more."""
-    last, kept = None, True  # the row before, and whether it has been given
-    for t in batches:
-        if not t.num_rows:
-            continue
-        lists = t.column("list").to_numpy()
-        same = np.append(last is not None and lists[0] == last.column("list")[0].as_py(), lists[1:] == lists[:-1])
-        if same[0] and not kept:
-            yield last
-        member = same | np.append(same[1:], False)
-        yield t.filter(pa.array(member))
-        last, kept = t.slice(t.num_rows - 1), bool(member[-1])
-
-
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (list, node) sorted by list: each member with the first of its list, which connects the list."""
     last, hub = None, None

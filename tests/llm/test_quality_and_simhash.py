@@ -191,27 +191,6 @@ def test_near_dedup_keeps_one_of_each_group(spark, small, empty, edge):
         assert kept == {r.component_id for r in simhash.similar_groups(frame).collect()}
 
 
-@pytest.mark.parametrize("cut", [1, 2, 5])
-def test_shared_lists_across_batches(cut):
-    import pyarrow as pa
-
-    lists = [1, 2, 2, 3, 4, 4, 4, 5, 6, 6]
-    t = pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(range(10), pa.int64())], names=["list", "node"])
-    out = pa.Table.from_batches(simhash._shared_lists(t.slice(a, cut) for a in range(0, 10, cut)))
-    assert out.column("node").to_pylist() == [1, 2, 4, 5, 6, 8, 9]
-
-
-def test_wide_forest_connects_what_pairs_connect():
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**63, (6, simhash.LANES), dtype=np.uint64)
-    fps = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, (6, simhash.LANES), dtype=np.uint64)) for _ in range(5)])
-    bits, nodes = 8, np.arange(len(fps)) + 100
-    found = simhash._wide_forest(nodes, fps, bits)
-    near = simhash._wide_near(fps, fps, bits)
-    same = lambda r: {frozenset(i for i in range(len(r)) if r[i] == x) for x in set(r)}
-    assert same(union(len(fps), [(a - 100, b - 100) for a, b in found.tolist()])) == same(union(len(fps), list(zip(*np.nonzero(near), strict=True))))
-
-
 def test_op6_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     label = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
@@ -250,11 +229,10 @@ def plain_model(x, label, setting):
     return lambda z: (gaussian(z, *parts[1]) - gaussian(z, *parts[0]) + odds) / temperature
 
 
-def test_op6_equals_a_plain_discriminant(spark):
-    """Every score of the query, its settings chosen by plain cross-validation."""
+def plain_scores(spark, folder):
+    """doc_id to score: a plain discriminant whose settings are chosen by plain cross-validation."""
     from pyspark.sql import functions as F
 
-    folder = "/root/testdata/sf0.01"
     docs = {r.doc_id: np.array(quality.statistics((r.text or "").encode())) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     labels = spark.read.parquet(f"{folder}/labels.parquet").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(quality.FOLDS))).collect()
     rows = [(docs[r.doc_id], r.quality, r.part) for r in labels if r.quality in (0, 1) and r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
@@ -266,13 +244,16 @@ def test_op6_equals_a_plain_discriminant(spark):
             z = plain_model(x[part != own], label[part != own], setting)(x[part == own])
             total += np.logaddexp(0, np.where(label[part == own] == 1, -z, z)).sum()
         loss.append(total)
-    chosen = quality.GRID[int(np.argmin(loss))]
-    model = plain_model(x, label, chosen)
-    got = {r.doc_id: (r.score, r.predicted) for r in queries.op6_quality(spark, folder).collect()}
-    assert set(got) == set(docs)
-    for doc, v in docs.items():
-        want = 1 / (1 + np.exp(-np.clip(model(v[None])[0], -500, 500)))
-        assert got[doc][0] == pytest.approx(want, abs=1e-6) and got[doc][1] == (got[doc][0] >= 0.7)
+    model = plain_model(x, label, quality.GRID[int(np.argmin(loss))])
+    return {doc: 1 / (1 + np.exp(-np.clip(model(v[None])[0], -500, 500))) for doc, v in docs.items()}
+
+
+def test_op6_equals_a_plain_discriminant(spark):
+    want = plain_scores(spark, "/root/testdata/sf0.01")
+    got = {r.doc_id: (r.score, r.predicted) for r in queries.op6_quality(spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == set(want)
+    for doc, score in want.items():
+        assert got[doc][0] == pytest.approx(score, abs=1e-6) and got[doc][1] == (got[doc][0] >= 0.7)
 
 
 def test_labels_that_are_no_classes_are_not_used(spark, small):
