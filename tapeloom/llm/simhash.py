@@ -251,28 +251,48 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hubs[some]), pa.array(nodes[some])], names=["a", "b"])
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one after another."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(lengths.sum()) + np.repeat(starts - before, lengths)
+
+
 def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Links (pairs of positions) that connect what the pairs of sets of this Jaccard similarity or more connect."""
+    """Links (pairs of positions) that connect what the pairs of sets of this Jaccard similarity or more connect.
+
+    Sets of that similarity share at least similarity * size members of each, so they share one among the size - that + 1
+    rarest of each. Only sets that meet in these are compared: a passage that all of them hold brings no pair together."""
     sizes = np.array([len(h) for h in sets], np.int64)
     words, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    owner, stops = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes)
-    every, left, marked, out = flat, np.ones(len(sets), bool), np.zeros(len(words), bool), []
+    owner, starts = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes) - sizes
+    rarity = np.empty(len(words), np.int64)
+    rarity[np.argsort(np.bincount(flat, minlength=len(words)), kind="stable")] = np.arange(len(words))
+    flat = rarity[flat]
+    flat = flat[np.lexsort((flat, owner))]
+    rare = np.minimum(sizes, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1)  # the little less errs towards more
+    at = _ranges(starts, rare)
+    order = np.argsort(flat[at], kind="stable")
+    holders, held = owner[at][order], np.concatenate([[0], np.cumsum(np.bincount(flat[at], minlength=len(words)))])
+    left, marked, out = np.ones(len(sets), bool), np.zeros(len(words), bool), []
     for root in range(len(sets)):
         front = [root] if left[root] else []
         left[root] = False
         while front:
             i = front.pop()
-            own = every[stops[i] - sizes[i] : stops[i]]
+            own = flat[starts[i] : starts[i] + sizes[i]]
+            first = own[: rare[i]]
+            met = holders[_ranges(held[first], held[first + 1] - held[first])]
+            met = np.unique(met[left[met]])
+            met = met[(sizes[met] >= similarity * sizes[i] - 1e-9) & (sizes[i] >= similarity * sizes[met] - 1e-9)]
+            if not len(met):
+                continue
             marked[own] = True
-            shared = np.bincount(owner[marked[flat]], minlength=len(sets))
+            shared = np.add.reduceat(marked[flat[_ranges(starts[met], sizes[met])]].astype(np.int64), np.cumsum(sizes[met]) - sizes[met])
             marked[own] = False
-            found = np.flatnonzero(left & (shared > 0) & (shared / np.maximum(sizes[i] + sizes - shared, 1) >= similarity)).tolist()
+            found = met[shared / (sizes[i] + sizes[met] - shared) >= similarity].tolist()
             out += [(i, j) for j in found]
             left[found] = False
             front += found
-            if 2 * sizes[left].sum() < len(flat):  # who is connected need not be looked at again
-                stay = left[owner]
-                flat, owner = flat[stay], owner[stay]
     return np.array(out, np.int64).reshape(-1, 2)
 
 

@@ -174,6 +174,22 @@ def test_alike_connects_what_pairs_connect():
     assert all(jaccard(sets[i], sets[j]) >= 0.8 for i, j in found) and same(union(120, found)) == same(union(120, want))
 
 
+def test_alike_equals_all_pairs_of_any_similarity():
+    rnd = np.random.default_rng(11)
+    for _ in range(200):
+        words, n = rnd.integers(0, 2**63, rnd.integers(2, 16), np.uint64), int(rnd.integers(1, 14))
+        sets = [np.unique(rnd.choice(words, rnd.integers(1, len(words) + 1))) for _ in range(n)]
+        similarity = float(rnd.choice([0.3, 0.5, 0.6, 0.75, 0.8, 1.0]))
+        near = [(i, j) for i in range(n) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= similarity]
+        groups = []
+        for links in (near, simhash.alike(sets, similarity).tolist()):
+            name = list(range(n))
+            for a, b in links:
+                name = [min(name[a], name[b]) if x in (name[a], name[b]) else x for x in name]
+            groups.append(name)
+        assert groups[0] == groups[1]
+
+
 @pytest.mark.parametrize("limit", [1024, 3])
 def test_clusters_of_any_size(spark, limit, monkeypatch):
     """A chain: each text is similar to the next one only, so that a cluster's blocks must all meet."""
