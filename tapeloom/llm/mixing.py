@@ -7,11 +7,13 @@ each source.
 
 Draws: a source takes as many whole repetitions of all its documents as its target holds, then the rest by a seeded
 hash order of the documents. The last document of that order is taken in part, so that every source meets its target to
-the word. The order's cut is found from sums for 2^bits hash buckets (partial aggregation), and only the cut bucket's
-rows are put in order, so that a source with a third of all rows is no task's burden.
+the word. The order's cut is found from sums for hash buckets (partial aggregation), and only the cut bucket's rows are
+put in order, so that a source with a third of all rows is no task's burden. Buckets are as many as give each some
+BUCKET_ROWS of all rows; a result doesn't depend on their number, since they cut the same order.
 
-Defined results: a null text has size 0; a null source is a source of its own, last; reruns agree (rows that are equal
-in key, size and source are interchangeable); an empty table gives no rows; all sizes 0 give targets 0.
+Defined results: a null text has size 0; very long texts are counted whole; a null source is a source of its own, last; null
+keys are keys like any other; repeated rows stay rows of their own and reruns agree (rows that are equal in key, size and
+source are interchangeable); an empty table gives no rows; all sizes 0 give targets 0; other columns, also those named like results, play no part.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import WORDS, Scratch, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
-BUCKET_BITS = 12
+#: Buckets of a source's hash order are 2^BUCKET_BITS at least, 2^MOST_BITS at most, and in between as BUCKET_ROWS asks.
+BUCKET_BITS, MOST_BITS, BUCKET_ROWS = 12, 22, 65_536
 
 
 def word_count(text: str = "text") -> Column:
@@ -49,7 +52,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     return per.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7, split: bool = True, bits: int = BUCKET_BITS, **shares) -> DataFrame:
+def bucket_bits(rows: int) -> int:
+    """How many bits of the hash name a bucket, for a table of that many rows."""
+    return min(MOST_BITS, max(BUCKET_BITS, (rows // BUCKET_ROWS).bit_length()))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7, split: bool = True, bits: int | None = None, **shares) -> DataFrame:
     """key, source, size, source_size, target and taken (words the mix takes of each row).
 
     split: the cut document is taken in part; otherwise it is taken whole if that brings the source nearer to its target."""
@@ -60,6 +68,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     per = scratch.write(targets(small, **shares), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     per = per.withColumn("whole", whole).withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("bigint"))
+    bits = bucket_bits(small.count()) if bits is None else bits  # of a written table: its files' footers tell
     bucket = F.shiftright("at", 64 - bits)
     sums = small.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("in_bucket"))
     running = F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket"))
@@ -81,9 +90,9 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
 
 def repeat(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """docs with each row as often as the mix takes its document whole (documents without words: never).
+    """docs with each row as often as the mix takes its document whole (documents without words, and null texts: never).
 
-    Keys should be unique: rows that share key, source and size are taken as often as each other."""
+    Keys should be unique: rows that share key, source and size are taken as often as each other. Results are defined as above; the columns are those of docs."""
     taken = mix(docs, key, source, text, split=False, **options).where("size > 0")
     times = taken.groupBy(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("size").alias("_size")).agg(F.max(F.expr("taken div size")).cast("int").alias("_times")).where("_times > 0")
     same = F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))

@@ -151,6 +151,14 @@ def test_op5(spark, request, which):
     assert key(rows) == key(mixing.mix(spark.read.parquet(f"{folder}/documents.parquet").repartition(5)).collect())
 
 
+def test_mix_does_not_depend_on_the_buckets(spark, small, edge):
+    assert [mixing.bucket_bits(n) for n in (0, 10**6, 2**28, 10**10, 10**12)] == [12, 12, 13, 18, 22]
+    for folder in (small, edge):
+        frame = spark.read.parquet(f"{folder}/documents.parquet")
+        one, two = (sorted(map(str, mixing.mix(frame, bits=bits).collect())) for bits in (2, 16))
+        assert one == two
+
+
 def test_repeat_takes_whole_documents(spark, small):
     frame = spark.read.parquet(f"{small}/documents.parquet")
     times = Counter(r.doc_id for r in mixing.repeat(frame).collect())
