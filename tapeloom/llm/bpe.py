@@ -6,7 +6,8 @@ two steps whatever the pre-token's length. A bucket gives its leftmost position
 changed meanwhile are stale: they are skipped when they come up. The work is O(n log n) for n bytes.
 
 Defined results: a null text is the empty text, which has no ids; texts are encoded whole, whatever their length;
-special tokens are never recognised; columns of the input whose names clash with the output's are replaced.
+special tokens are never recognised; repeated rows are encoded each; an empty table gives no rows; columns of the
+input whose names clash with the output's are replaced.
 """
 
 from __future__ import annotations

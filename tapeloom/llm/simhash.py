@@ -11,7 +11,9 @@ every qualifying pair must share too; lists still longer are compared in blocks,
 own. Nothing is capped.
 
 Defined results: a null text is the empty text; texts without words have fingerprint zero, linked like any other; texts
-with fewer words than a shingle are one shingle; null keys never are a component's name; an empty table gives no rows.
+with fewer words than a shingle are one shingle; very long texts are read whole; rows repeated under a key stay rows of
+their own; null keys never are a component's name (a component of null keys only has none); an empty table gives no rows;
+other columns, also those named like results, play no part.
 """
 
 from __future__ import annotations
@@ -324,7 +326,9 @@ def _alike_in(clusters: DataFrame, docs: DataFrame, words: int, similarity: floa
 
 
 def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """key and component_id for each row of df: texts connected by pairs whose shingle sets have the similarity or more."""
+    """key and component_id for each row of df: texts connected by pairs whose shingle sets have the similarity or more.
+
+    Null, empty and blank texts have the empty set and are one class, like no other; else results are defined as above."""
     scratch = Scratch(df.sparkSession, "simhash")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,6 +357,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of df that stay: those that name their component of similar texts."""
+    """The rows of df that stay, with df's columns: those that name their component of similar texts. Rows that repeat the
+    naming key stay together; of a component of null keys only, the rows stay; an empty table stays empty."""
     stay = similar_groups(df, key, text, words, similarity).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key")).distinct()
     return df.join(stay, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
