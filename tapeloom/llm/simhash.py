@@ -18,8 +18,9 @@ other columns, also those named like results, play no part.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -195,20 +196,149 @@ def _named(distinct: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame
 
 # --- Similar texts ------------------------------------------------------------------------------------------------
 #
-# Texts of a similarity of 0.8 differ in some tenth of their fingerprint bits, far more than 4 of 64, and no affordable number of
-# byte positions leads all such pairs to a list. Candidates are texts that agree in one of BANDS keys instead, each of ROWS
-# least hashes of the shingle set under functions of their own: at similarity s a pair has no key in common with probability
-# (1 - s ** ROWS) ** BANDS, 5e-7 at 0.8 and less above.
+# Texts of a similarity of 0.8 differ in 15 % of their fingerprint bits, far more than 4 of 64, so their fingerprint is LANES SimHashes side
+# by side, over the same kind of index: two texts that may qualify share SHARES of its byte positions or more. The positions are
+# dealt to SHARES - 1 teams, so two of the shared ones are in one team, and every such pair of texts meets under the values of two
+# positions of a team. A posting list is keyed by the first of them and cut into runs by the second inside its task. In a run the
+# differing bits of two lanes are counted, then the shared bytes of all positions (the count filter) and all differing bits.
+# A byte agrees with probability (1 - 0.1515) ** 8 = 0.27 at similarity 0.8: a pair of that similarity shares fewer than SHARES of the
+# 96 with probability 4e-8 (1e-4 for the sets that fare worst, 4 shingles of 5), and less above; the two limits of bits lose less.
 #
-# Keys only say which texts to compare. Candidates connected in any way are a cluster; inside it the shingle sets
+# The index only says which texts to compare. Candidates connected in any way are a cluster; inside it the shingle sets
 # themselves are compared, all pairs that are not connected already, and only a Jaccard similarity that is reached is a link.
 # Texts of equal sets are one class.
 
+LANES, SHARES = 12, 6
+POSITIONS = 8 * LANES
+_LANE = np.random.default_rng(96).integers(0, 2**64, (LANES, 1), np.uint64)
+TEAMS = np.array_split(np.arange(POSITIONS), SHARES - 1)
+#: Differing bits of the first two lanes and of all, at most: five deviations beyond what the worst sets of similarity 0.8 have.
+TWO_BITS, ALL_BITS = 48, 210
+#: Members of a run whose pairs are all looked at; pairs looked at in one go.
+RUN, PAIRS = 512, 1 << 18
+#: Bytes of shingle sets in a block of a cluster, about (BLOCK members at most).
+SET_BYTES = 4 << 20
+
+
+def wide_fingerprint(h: np.ndarray) -> bytes:
+    """LANES SimHashes of a set of shingles that is not empty."""
+    counts = np.zeros((LANES, 64), np.int64)
+    for at in range(0, len(h), 255):
+        bits = np.unpackbits(mix64(h[at : at + 255] ^ _LANE).astype(">u8").view(np.uint8)).reshape(LANES, -1, 64)
+        counts += np.add.reduce(bits, axis=1, dtype=np.uint8)
+    return np.packbits(2 * counts > len(h)).tobytes()
+
+
+def _wide_near(fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows (i, j) of fps (n, LANES) qualify."""
+    some = np.flatnonzero(np.bitwise_count(fps[i, 0] ^ fps[j, 0]) + np.bitwise_count(fps[i, 1] ^ fps[j, 1]) <= TWO_BITS)
+    x = fps[i[some]] ^ fps[j[some]]
+    tally = (x.view(np.uint8).reshape(-1, POSITIONS) == 0).sum(1)
+    out = np.zeros(len(i), bool)
+    out[some[(tally >= SHARES) & (np.bitwise_count(x).sum(1, dtype=np.int64) <= ALL_BITS)]] = True
+    return out
+
+
+def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Gives what the pairs connect the same label, the least position in it."""
+    while len(i):
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        np.minimum.at(label, high, low)
+        while not np.array_equal(again := label[label], label):
+            label[:] = again
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+
+
+def _long_run(fps: np.ndarray, label: np.ndarray, run: np.ndarray) -> None:
+    """Connects the members of a run; those with one label go together and are not compared with each other."""
+    while len(run):
+        front = run[:1]
+        while len(front):
+            mine = label[run] == label[front[0]]
+            front, run = run[mine], run[~mine]
+            found = np.zeros(len(run), bool)
+            for i in front.tolist():
+                rest = np.flatnonzero(~found)
+                if not len(rest):
+                    break
+                found[rest[_wide_near(fps, np.full(len(rest), i), run[rest])]] = True
+            met = run[found]
+            _unite(label, np.full(len(met), front[0]), met)
+            front = met[:1]
+
+
+def qualifying(fps: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+    """A label for each fingerprint (n, LANES) of a list: equal for those connected by qualifying pairs that share one of the second positions."""
+    own, label = fps.view(np.uint8).reshape(-1, POSITIONS), np.arange(len(fps))
+    for second in seconds.tolist():
+        order = np.argsort(own[:, second], kind="stable")
+        lengths = np.bincount(own[:, second], minlength=256)
+        lengths, stops = lengths[lengths > 0], np.cumsum(lengths[lengths > 0])
+        for n in np.flatnonzero(lengths > RUN).tolist():
+            _long_run(fps, label, order[stops[n] - lengths[n] : stops[n]])
+        after = np.repeat(np.where(lengths > RUN, 0, stops), lengths) - np.arange(len(fps)) - 1  # members of the run that follow
+        after = np.maximum(after, 0)
+        cuts = np.searchsorted(np.cumsum(after), np.arange(PAIRS, int(after.sum()) + PAIRS, PAIRS)) + 1
+        for a, b in pairwise([0, *cuts.tolist()]):
+            at = np.arange(a, min(b, len(fps)))
+            i, j = order[np.repeat(at, after[at])], order[_ranges(at + 1, after[at])]
+            apart = np.flatnonzero(label[i] != label[j])
+            i, j = i[apart], j[apart]
+            near = _wide_near(fps, i, j)
+            _unite(label, i[near], j[near])
+    return label
+
+
+def _position_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (list, node, print) sorted by list: links that connect what a list's qualifying pairs connect."""
+    key, nodes, prints = None, [], []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        own = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
+        if len(own) > 1:
+            first = key >> 8
+            team = next(t for t in TEAMS if first in t)
+            label = qualifying(np.frombuffer(b"".join(prints), np.uint64).reshape(-1, LANES), team[team > first])
+            some = np.flatnonzero(label != np.arange(len(label)))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(own[label[some]]), pa.array(own[some])], names=["a", "b"])
+
+    for t in batches:
+        lists, own, values = t.column("list").to_numpy(), t.column("node").to_numpy(), t.column("print").to_pylist()
+        cuts = [0, *(np.flatnonzero(np.diff(lists)) + 1).tolist(), len(lists)] if len(lists) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if lists[a] != key:
+                yield from close()
+                key, nodes, prints = int(lists[a]), [], []
+            nodes.append(own[a:b])
+            prints += values[a:b]
+    yield from close()
+
+
+def _candidates(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between the classes (fp, prints) that connect all qualifying pairs; one team of positions at a time, so that its postings alone are on disk."""
+    found = []
+    for n, team in enumerate(TEAMS):
+
+        def postings(batches: Iterator[pa.RecordBatch], team=team[:-1]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, 2048):
+                own = np.frombuffer(b"".join(batch.column("prints").to_pylist()), np.uint8).reshape(-1, POSITIONS)[:, team]
+                at = pa.array(np.repeat(np.arange(batch.num_rows), len(team)))
+                lists = (own + (team << 8)).astype(np.int32).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(lists), batch.column("fp").take(at), batch.column("prints").take(at)], names=["list", "node", "print"])
+
+        posted = distinct.where("prints IS NOT NULL").select("fp", "prints").mapInArrow(postings, "list int, node bigint, print binary")
+        found.append(scratch.write(posted.repartition("list").sortWithinPartitions("list").mapInArrow(_position_links, "a bigint, b bigint"), f"candidates-{n}"))
+        scratch.release()
+    return functools.reduce(DataFrame.unionAll, found).distinct()
+
+
+# Keys of ROWS least hashes each agree with probability similarity ** ROWS. Nothing here uses them; a test holds them to that.
+
 ROWS, BANDS = 6, 48
 _FLIP, _TIMES = np.random.default_rng(68).integers(0, 2**64, (2, ROWS * BANDS, 1), np.uint64)
 _TIMES |= np.uint64(1)
-#: Bytes of shingle sets in a block of a cluster, about (BLOCK members at most).
-SET_BYTES = 4 << 20
 
 
 def band_keys(h: np.ndarray) -> np.ndarray:
@@ -239,20 +369,6 @@ def set_name(h: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(h.astype("<u8").tobytes())).view(np.int64))
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (list, node) sorted by list: each member with the first of its list, which connects the list."""
-    last, hub = None, None
-    for t in batches:
-        if not t.num_rows:
-            continue
-        lists, nodes = t.column("list").to_numpy(), t.column("node").to_numpy()
-        new = np.append(lists[0] != last, lists[1:] != lists[:-1])
-        hubs = np.concatenate([[0 if hub is None else hub], nodes[new]]).astype(np.int64)[np.cumsum(new)]
-        last, hub = lists[-1], hubs[-1]
-        some = hubs != nodes
-        yield pa.RecordBatch.from_arrays([pa.array(hubs[some]), pa.array(nodes[some])], names=["a", "b"])
-
-
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions of all ranges, one after another."""
     before = np.cumsum(lengths) - lengths
@@ -334,22 +450,13 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = [shingles(t, words) for t in utf8(batch.column("text"))]
-            bands = [band_keys(h).tobytes() if len(h) else None for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(map(set_name, sets), pa.int64()), pa.array(bands, pa.binary())], names=["key", "fp", "bands"])
-
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2048):
-            lists = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
-            at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(lists), batch.column("fp").take(at)], names=["list", "node"])
+            prints = [wide_fingerprint(h) if len(h) else None for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(map(set_name, sets), pa.int64()), pa.array(prints, pa.binary())], names=["key", "fp", "prints"])
 
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = scratch.write(docs.mapInArrow(keyed, "key bigint, fp bigint, bands binary"), "keyed")
-    distinct = scratch.write(rows.groupBy("fp").agg(F.min("key").alias("least"), F.any_value("bands").alias("bands")), "classes")
-    posted = distinct.where("bands IS NOT NULL").select("fp", "bands").mapInArrow(postings, "list bigint, node bigint")
-    edges = scratch.write(posted.repartition("list").sortWithinPartitions("list").mapInArrow(_stars, "a bigint, b bigint"), "stars")
-    scratch.release()
-    clusters = scratch.write(components(edges.distinct(), scratch, "near").join(distinct.select(F.col("fp").alias("node"), "least"), "node"), "clusters")
+    rows = scratch.write(docs.mapInArrow(keyed, "key bigint, fp bigint, prints binary"), "keyed")
+    distinct = scratch.write(rows.groupBy("fp").agg(F.min("key").alias("least"), F.any_value("prints").alias("prints")), "classes")
+    clusters = scratch.write(components(_candidates(distinct, scratch), scratch, "near").join(distinct.select(F.col("fp").alias("node"), "least"), "node"), "clusters")
     alike = scratch.write(_alike_in(clusters, docs, words, similarity, scratch), "alike")
     scratch.release()
     named = _named(distinct.select("fp", "least"), alike, scratch)

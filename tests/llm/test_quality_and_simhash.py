@@ -296,3 +296,53 @@ def test_discriminant_is_the_gaussian_one():
     z = np.log(model.score(x[1][:5]) / (1 - model.score(x[1][:5]))) * quality.TEMPERATURE
     dense = lambda c: -0.5 * np.einsum("ij,jk,ik->i", x[1][:5] - x[c].mean(0), np.linalg.inv(np.cov(x[c].T, bias=True) + quality.FLOOR * np.eye(3)), x[1][:5] - x[c].mean(0)) - 0.5 * np.linalg.slogdet(np.cov(x[c].T, bias=True) + quality.FLOOR * np.eye(3))[1]
     assert np.allclose(z, dense(1) - dense(0), atol=1e-6)
+
+
+def test_every_pair_that_shares_enough_positions_meets_in_a_team():
+    assert sorted(p for team in simhash.TEAMS for p in team.tolist()) == list(range(simhash.POSITIONS))
+    assert len(simhash.TEAMS) < simhash.SHARES  # so two of any SHARES positions are in one team
+
+
+@pytest.mark.parametrize("run", [512, 4])
+def test_position_lists_connect_what_qualifying_pairs_connect(run, monkeypatch):
+    """All lists of all teams against all pairs: shared byte positions counted, then differing bits."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "RUN", run)
+    monkeypatch.setattr(simhash, "PAIRS", 50)
+    rng, prints = np.random.default_rng(run), []
+    for _ in range(12):
+        x = rng.integers(0, 2**63, 90, dtype=np.uint64)
+        for i in range(10):
+            prints.append(simhash.wide_fingerprint(np.append(x[: 90 - i * (2 + i % 3)], rng.integers(0, 2**63, i * (2 + i % 3), dtype=np.uint64))))
+    raw = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, simhash.POSITIONS)
+    n = len(raw)
+    want = [(i, j) for i in range(n) for j in range(i) if (raw[i] == raw[j]).sum() >= simhash.SHARES and np.bitwise_count(raw[i] ^ raw[j]).sum() <= simhash.ALL_BITS and np.bitwise_count(raw[i, :16] ^ raw[j, :16]).sum() <= simhash.TWO_BITS]
+    rows = sorted((int(p) << 8 | int(raw[i, p]), i) for i in range(n) for team in simhash.TEAMS for p in team[:-1])
+    t = pa.table({"list": pa.array([r[0] for r in rows], pa.int32()), "node": [r[1] for r in rows], "print": [prints[r[1]] for r in rows]})
+    got = [(a, b) for x in simhash._position_links(t.to_batches(max_chunksize=37)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+    same = lambda r: {frozenset(i for i in range(len(r)) if r[i] == x) for x in set(r)}
+    assert len(want) > 100 and same(union(n, got)) == same(union(n, want))
+
+
+def test_the_near_dedup_goes_through_the_fingerprints(spark, monkeypatch):
+    """Fingerprints that share no byte position are candidates of nothing, whatever the texts."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j k l m"), (3, "n o p q r s")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    linked = simhash._candidates
+    assert [r.component_id for r in simhash.similar_groups(frame).orderBy("doc_id").collect()] == [1, 1, 3]
+    monkeypatch.setattr(simhash, "_candidates", lambda d, s: linked(d.withColumn("prints", F.expr("CASE WHEN least = 1 THEN unhex(repeat('00', 96)) ELSE prints END")), s))
+    assert [r.component_id for r in simhash.similar_groups(frame).orderBy("doc_id").collect()] == [1, 2, 3]
+
+
+def test_fingerprints_of_similar_sets_qualify():
+    """Sets of similarity 0.8 of all sizes, the worst (4 shingles of 5) among them; at most two of 10300 pairs are lost."""
+    rng, lost = np.random.default_rng(5), 0
+    for size in (4, 8, 12, 20, 60, 200):
+        for _ in range(2000 if size < 200 else 300):
+            h = rng.integers(0, 2**63, size * 5 // 4, dtype=np.uint64)
+            fps = np.frombuffer(simhash.wide_fingerprint(h[:size]) + simhash.wide_fingerprint(h), np.uint64).reshape(2, -1)
+            lost += not simhash._wide_near(fps, np.array([0]), np.array([1]))[0]
+    assert lost <= 2
