@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tapeloom.llm import katz, queries
@@ -114,3 +115,29 @@ def test_steps_round_trip():
     runs, numbers = np.array([2, 0, 3, 1]), np.array([4, 9, 1, 2, 50, 7])
     assert katz.values(runs, katz.steps(runs, numbers)).tolist() == numbers.tolist()
     assert katz.values(np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+
+
+@pytest.mark.parametrize(("order", "hot"), [(2, 3), (3, 3), (4, 20), (4, katz.HOT)])
+def test_words_dealt_to_several_shards(spark, small, order, hot):
+    frame = spark.read.parquet(f"{small}/documents.parquet").repartition(12)
+    rows = frame.collect()
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    model = Plain([r.text for r in rows if not out(r.doc_id)], order)
+    got = {r.doc_id: r.score for r in katz.Katz(Scratch(spark, "t"), order, hot).fit_and_score(frame, crc_fold("doc_id", 5) == 1).collect()}
+    assert set(got) == {r.doc_id for r in rows} and all(got[r.doc_id] == pytest.approx(model.score(r.text), rel=1e-9) for r in rows)
+
+
+def test_a_block_sends_few_bytes_for_a_token():
+    """At order 3 a block once sent over 16 bytes a token: hashes of contexts and estimates of the order below."""
+    rng = np.random.default_rng(1)
+    words = pa.array([f"w{i}" for i in np.minimum(rng.zipf(1.2, 200_000), 50_000)])
+    row = katz._block(1, 300, list(range(400)), np.full(400, 500), words).to_pylist()[0]
+    counts = katz.unpack_counts(row["counts"])[np.argsort(katz.unpack(row["words"], "<u8"))]
+    own = katz.Block(row, [{"a": katz.pack_counts(counts), "b": katz.pack_counts(np.argsort(np.argsort(-counts, kind="stable")) + 1)}])
+    assert sum(len(x) for r in own.ask(3, 4, katz.HOT, 0, 4) for x in r if isinstance(x, bytes)) < 6 * 200_400
+
+
+def test_texts_without_words(spark):
+    frame = spark.createDataFrame([(1, ""), (2, None), (3, " \t")], "doc_id bigint, text string")
+    got = katz.Katz(Scratch(spark, "t"), 3).fit_and_score(frame, crc_fold("doc_id", 5) == 1).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(1, 1), (2, 1), (3, 1)] and all(math.isfinite(r.score) for r in got)
