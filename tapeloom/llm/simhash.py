@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tapeloom.llm.common import LOWER_TABLE, Scratch, mix64, pieces, utf8
+from tapeloom.llm.common import LOWER_TABLE, Scratch, mix64, pieces, shuffle_partitions, utf8
 from tapeloom.llm.graph import components
 
 BITS, SHARED, LIST, BLOCK = 4, 4, 2048, 1024
@@ -316,20 +316,54 @@ def _position_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from close()
 
 
+def _packed(prints: np.ndarray, nodes: np.ndarray, team: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """The postings of a team's positions but the last, in a row for each bucket of lists: lists, whose they are, and each node and print once."""
+    lists = (prints[:, team[:-1]] + (team[:-1] << 8)).astype(np.int32).ravel()
+    at = np.repeat(np.arange(len(prints)), len(team) - 1)
+    bucket = (mix64(lists.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    stops = np.cumsum(np.bincount(bucket, minlength=buckets))
+    for own in np.split(order, stops[:-1]):
+        if len(own):
+            some, index = np.unique(at[own], return_inverse=True)
+            yield int(bucket[own[0]]), lists[own].tobytes(), index.astype(np.uint16).tobytes(), nodes[some].tobytes(), prints[some].tobytes()
+
+
+def _unpacked(rows: Iterator[tuple[bytes, bytes, bytes, bytes]], size: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Rows (list, node, print) sorted by list, of what _packed() gave."""
+    lists, at, nodes, prints, n = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], [], 0
+    for own, index, node, found in rows:
+        lists.append(np.frombuffer(own, np.int32))
+        at.append(np.frombuffer(index, np.uint16) + np.int64(n))
+        nodes.append(node)
+        prints.append(found)
+        n += len(node) // 8
+    lists, at, nodes, prints = np.concatenate(lists), np.concatenate(at), np.frombuffer(b"".join(nodes), np.int64), np.frombuffer(b"".join(prints), f"V{POSITIONS}")
+    order = np.argsort(lists, kind="stable")
+    for a in range(0, len(order), size):
+        some = order[a : a + size]
+        yield pa.RecordBatch.from_arrays([pa.array(lists[some]), pa.array(nodes[at[some]]), pa.array(prints[at[some]].tolist(), pa.binary())], names=["list", "node", "print"])
+
+
 def _candidates(distinct: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between the classes (fp, prints) that connect all qualifying pairs; one team of positions at a time, so that its postings alone are on disk."""
-    found = []
+    """Links (a, b) between the classes (fp, prints) that connect all qualifying pairs; one team of positions at a time, so that its postings alone are on disk.
+
+    Lists go to as many buckets as there are shuffle partitions; a batch's prints go once to each bucket, not once for each list."""
+    found, buckets = [], shuffle_partitions(scratch.spark)
+    names = ["bucket", "lists", "at", "nodes", "prints"]
     for n, team in enumerate(TEAMS):
 
-        def postings(batches: Iterator[pa.RecordBatch], team=team[:-1]) -> Iterator[pa.RecordBatch]:
+        def postings(batches: Iterator[pa.RecordBatch], team=team) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, 2048):
-                own = np.frombuffer(b"".join(batch.column("prints").to_pylist()), np.uint8).reshape(-1, POSITIONS)[:, team]
-                at = pa.array(np.repeat(np.arange(batch.num_rows), len(team)))
-                lists = (own + (team << 8)).astype(np.int32).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(lists), batch.column("fp").take(at), batch.column("prints").take(at)], names=["list", "node", "print"])
+                prints = np.frombuffer(b"".join(batch.column("prints").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+                rows = list(_packed(prints, batch.column("fp").to_numpy(), team, buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate([pa.int32(), *[pa.binary()] * 4])], names=names)
+
+        def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _position_links(_unpacked(tuple(x) for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in names[1:]), strict=True)))
 
-        posted = distinct.where("prints IS NOT NULL").select("fp", "prints").mapInArrow(postings, "list int, node bigint, print binary")
-        found.append(scratch.write(posted.repartition("list").sortWithinPartitions("list").mapInArrow(_position_links, "a bigint, b bigint"), f"candidates-{n}"))
+        posted = distinct.where("prints IS NOT NULL").select("fp", "prints").mapInArrow(postings, "bucket int, lists binary, at binary, nodes binary, prints binary")
+        found.append(scratch.write(posted.repartitionById(buckets, F.col("bucket")).mapInArrow(links, "a bigint, b bigint"), f"candidates-{n}"))
         scratch.release()
     return functools.reduce(DataFrame.unionAll, found).distinct()
 

@@ -346,3 +346,15 @@ def test_fingerprints_of_similar_sets_qualify():
             fps = np.frombuffer(simhash.wide_fingerprint(h[:size]) + simhash.wide_fingerprint(h), np.uint64).reshape(2, -1)
             lost += not simhash._wide_near(fps, np.array([0]), np.array([1]))[0]
     assert lost <= 2
+
+
+def test_packed_postings_are_those_of_all_lists_and_hold_a_print_once():
+    rng = np.random.default_rng(4)
+    prints, nodes = rng.integers(0, 256, (700, simhash.POSITIONS), np.uint8), rng.integers(0, 2**62, 700)
+    for team in simhash.TEAMS:
+        packed = list(simhash._packed(prints, nodes, team, 5))
+        got = sorted((r["list"], r["node"], r["print"]) for x in simhash._unpacked((r[1:] for r in packed), 1000) for r in x.to_pylist())
+        assert got == sorted((int(p) << 8 | int(prints[i, p]), int(nodes[i]), prints[i].tobytes()) for i in range(700) for p in team[:-1])
+        assert sum(len(x) for r in packed for x in r[1:]) < 700 * (5 * 104 + 6 * len(team))
+        lists = [set(np.frombuffer(r[1], np.int32).tolist()) for r in packed]
+        assert sum(map(len, lists)) == len(set().union(*lists))
