@@ -128,7 +128,7 @@ def test_words_dealt_to_several_shards(spark, small, order, hot):
 
 
 def test_a_block_sends_few_bytes_for_a_token():
-    """At order 3 a block once sent over 16 bytes a token: hashes of contexts and estimates of the order below."""
+    """At order 3 a block once sent 11 bytes a token in its last ask alone: hashes of contexts and estimates of the order below."""
     rng = np.random.default_rng(1)
     words = pa.array([f"w{i}" for i in np.minimum(rng.zipf(1.2, 200_000), 50_000)])
     row = katz._block(1, 300, list(range(400)), np.full(400, 500), words).to_pylist()[0]
