@@ -76,6 +76,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Small rows for a task of a step over few of them.
+TASK_ROWS, LEAST_TASKS = 1 << 16, 8
+
+
+def in_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df, of so many small rows about, in as many tasks as these need, however many shuffle partitions there are: a task
+    reads several of them. Never in more tasks than there are partitions."""
+    return df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tapeloom.llm.common import LOWER_TABLE, Scratch, mix64, pieces, shuffle_partitions, utf8
+from tapeloom.llm.common import LOWER_TABLE, Scratch, in_tasks, mix64, pieces, shuffle_partitions, utf8
 from tapeloom.llm.graph import components
 
 BITS, SHARED, LIST, BLOCK = 4, 4, 2048, 1024
@@ -146,8 +146,9 @@ def _index(fps: DataFrame, blocks: list[tuple[int, ...]]) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("list"), "fp")
 
 
-def _linked(postings: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    found = scratch.write(postings.repartition("list").sortWithinPartitions("list", "fp").mapInArrow(_lists, EDGES), name)
+def _linked(fps: DataFrame, blocks: list[tuple[int, ...]], scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    postings = in_tasks(_index(fps, blocks).repartition("list"), fps.count() * len(blocks))
+    found = scratch.write(postings.sortWithinPartitions("list", "fp").mapInArrow(_lists, EDGES), name)
     return found.where("list IS NULL").select("a", "b"), found.where("list IS NOT NULL").select("list", F.col("b").alias("fp"))
 
 
@@ -167,10 +168,10 @@ def _blocks(long: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) among the distinct fingerprints fp, enough to connect all that qualifying pairs connect."""
-    edges, long = _linked(_index(fps, TRIPLES), scratch, "triples")
+    edges, long = _linked(fps, TRIPLES, scratch, "triples")
     if not long.isEmpty():
         # Members of a long list share three positions; qualifying pairs share a fourth one.
-        more, longer = _linked(_index(long.select("fp").distinct(), list(combinations(range(8), 4))), scratch, "quads")
+        more, longer = _linked(long.select("fp").distinct(), list(combinations(range(8), 4)), scratch, "quads")
         edges = edges.unionAll(more)
         if not longer.isEmpty():
             edges = edges.unionAll(_blocks(longer))
@@ -181,17 +182,17 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     """key, fp and component_id (the smallest key of the near-duplicate component) for each row of df."""
     scratch = Scratch(df.sparkSession, "simhash")
     rows = scratch.write(fingerprints(df, key, text, words, seed), "fingerprints")
-    distinct = scratch.write(rows.groupBy("fp").agg(F.min("key").alias("least")), "classes")
+    distinct = scratch.write(in_tasks(rows.groupBy("fp").agg(F.min("key").alias("least")), rows.count()), "classes")
     named = _named(distinct, links(distinct.select("fp"), scratch), scratch)
-    return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return in_tasks(rows.join(named, "fp"), rows.count()).select(F.col("key").alias(key), "fp", "component_id")
 
 
 def _named(distinct: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """fp and component_id of each class (fp, least), from links between fps."""
-    found = components(edges, scratch)
-    labelled = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return scratch.write(labelled.join(names, "root").select("fp", "component_id"), "named")
+    found, rows = components(edges, scratch), distinct.count()
+    labelled = in_tasks(distinct.join(found, F.col("fp") == F.col("node"), "left"), rows).select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = in_tasks(labelled.groupBy("root").agg(F.min("least").alias("component_id")), rows)
+    return scratch.write(in_tasks(labelled.join(names, "root"), rows).select("fp", "component_id"), "named")
 
 
 # --- Similar texts ------------------------------------------------------------------------------------------------

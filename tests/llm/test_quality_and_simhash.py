@@ -190,6 +190,25 @@ def test_alike_equals_all_pairs_of_any_similarity():
         assert groups[0] == groups[1]
 
 
+def test_rounds_of_few_pairs_run_in_few_tasks(spark, monkeypatch):
+    """However many shuffle partitions there are: each task that has rows writes a file."""
+    from tapeloom.llm.common import LEAST_TASKS
+
+    files, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: (out := write(self, df, name), files.append(len(out.inputFiles())))[0])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(300)] + [(0, 2 * i) for i in range(1, 100)], "a bigint, b bigint")
+        found = {r.node: r.root for r in components(edges, Scratch(spark, "t")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {i: 0 if i < 200 else i - i % 2 for i in range(600)}
+    assert files and max(files) <= LEAST_TASKS
+
+
 @pytest.mark.parametrize("limit", [1024, 3])
 def test_clusters_of_any_size(spark, limit, monkeypatch):
     """A chain: each text is similar to the next one only, so that a cluster's blocks must all meet."""
