@@ -219,6 +219,10 @@ TWO_BITS, ALL_BITS = 48, 210
 RUN, PAIRS = 512, 1 << 18
 #: Bytes of shingle sets in a block of a cluster, about (BLOCK members at most).
 SET_BYTES = 4 << 20
+#: Classes for each bucket of posting lists; buckets at least.
+BUCKET_PRINTS, LEAST_BUCKETS = 1 << 14, 12
+#: Keys that are broadcast at most; more are joined by shuffles.
+BROADCAST_KEYS = 1 << 21
 
 
 def wide_fingerprint(h: np.ndarray) -> bytes:
@@ -346,11 +350,15 @@ def _unpacked(rows: Iterator[tuple[bytes, bytes, bytes, bytes]], size: int = 409
         yield pa.RecordBatch.from_arrays([pa.array(lists[some]), pa.array(nodes[at[some]]), pa.array(prints[at[some]].tolist(), pa.binary())], names=["list", "node", "print"])
 
 
+def _buckets(classes: int, partitions: int) -> int:
+    return min(max(partitions, 1), max(LEAST_BUCKETS, -(-classes // BUCKET_PRINTS)))
+
+
 def _candidates(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) between the classes (fp, prints) that connect all qualifying pairs; one team of positions at a time, so that its postings alone are on disk.
 
-    Lists go to as many buckets as there are shuffle partitions; a batch's prints go once to each bucket, not once for each list."""
-    found, buckets = [], shuffle_partitions(scratch.spark)
+    A batch's prints go once to each bucket of lists, not once for each list, so buckets are as few as a task's memory allows."""
+    found, buckets = [], _buckets(distinct.count(), shuffle_partitions(scratch.spark))
     names = ["bucket", "lists", "at", "nodes", "prints"]
     for n, team in enumerate(TEAMS):
 
@@ -366,7 +374,7 @@ def _candidates(distinct: DataFrame, scratch: Scratch) -> DataFrame:
         posted = distinct.where("prints IS NOT NULL").select("fp", "prints").mapInArrow(postings, "bucket int, lists binary, at binary, nodes binary, prints binary")
         found.append(scratch.write(posted.repartitionById(buckets, F.col("bucket")).mapInArrow(links, "a bigint, b bigint"), f"candidates-{n}"))
         scratch.release()
-    return functools.reduce(DataFrame.unionAll, found).distinct()
+    return functools.reduce(DataFrame.unionAll, found)
 
 
 # Keys of ROWS least hashes each agree with probability similarity ** ROWS. Nothing here uses them; a test holds them to that.
@@ -449,8 +457,21 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _alike_in(clusters: DataFrame, docs: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that connect what the pairs of the similarity or more connect in each cluster (node, root, least: a key of the node's texts)."""
+def _sent(keys: DataFrame) -> DataFrame:
+    """keys, a written table's, broadcast if they are few; each row is some 8 bytes."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def _blocked(clusters: DataFrame) -> DataFrame:
+    """clusters (node, root, least, members: of the node's set) plus n: clusters too large for a task are n blocks, and each pair of blocks a group."""
+    n = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("members") * 8 / SET_BYTES)).cast("int")
+    return clusters.join(clusters.groupBy("root").agg(F.greatest(n, F.lit(1)).alias("n")), "root")
+
+
+def _alike_in(clusters: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect what the pairs of the similarity or more connect in each cluster (node, root, n, least: a key of the node's texts).
+
+    A set goes from its text straight to its groups: it is shuffled once for each, and by the group, not the cluster."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -458,19 +479,18 @@ def _alike_in(clusters: DataFrame, docs: DataFrame, words: int, similarity: floa
             # Another text under the same key is another class.
             own = [n for n, (h, node) in enumerate(zip(sets, batch.column("node").to_pylist(), strict=True)) if set_name(h) == node]
             some = batch.take(pa.array(own, pa.int64()))
-            yield pa.RecordBatch.from_arrays([some.column("node"), some.column("root"), pa.array([sets[n].astype("<u8").tobytes() for n in own], pa.binary())], names=["node", "root", "set"])
-
-    met = docs.join(clusters, F.col("key").eqNullSafe(F.col("least"))).select("text", "node", "root")
-    sets = met.mapInArrow(sets_of, "node bigint, root bigint, set binary").groupBy("node", "root").agg(F.any_value("set").alias("set"))
-    sets = scratch.write(sets, "sets")
-    # Clusters too large for a task: pairs of blocks, each pair a group.
-    n = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("set")) / SET_BYTES)).cast("int")
-    rows = sets.join(sets.groupBy("root").agg(F.greatest(n, F.lit(1)).alias("n")), "root").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("n")).cast("int"))
+            yield pa.RecordBatch.from_arrays([some.column("node"), some.column("root"), some.column("n"), pa.array([sets[n].astype("<u8").tobytes() for n in own], pa.binary())], names=["node", "root", "n", "set"])
+
+    # Most texts are in no cluster: they are left where they are, and only the others are shuffled, if any.
+    asked = clusters.select(F.xxhash64("least").alias("_asked"))
+    docs = docs.join(_sent(asked), F.xxhash64("key") == F.col("_asked"), "left_semi") if clusters.count() <= BROADCAST_KEYS else docs
+    met = docs.join(clusters, F.col("key").eqNullSafe(F.col("least"))).select("text", "node", "root", "n")
+    rows = met.mapInArrow(sets_of, "node bigint, root bigint, n int, set binary").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("n")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, n - 1)"))).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "set")
 
     def pairs(t: pa.Table) -> pa.Table:
-        nodes = t.column("node").to_numpy()
-        found = alike([np.frombuffer(x, "<u8") for x in t.column("set").to_pylist()], similarity)
+        nodes, first = np.unique(t.column("node").to_numpy(), return_index=True)  # rows repeated under a key give a node again
+        found = alike([np.frombuffer(x, "<u8") for x in t.column("set").take(pa.array(first)).to_pylist()], similarity)
         return pa.table({"a": nodes[found[:, 0]], "b": nodes[found[:, 1]]})
 
     return rows.groupBy("root", "i", "j").applyInArrow(pairs, "a bigint, b bigint")
@@ -486,13 +506,16 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
         for batch in pieces(batches):
             sets = [shingles(t, words) for t in utf8(batch.column("text"))]
             prints = [wide_fingerprint(h) if len(h) else None for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(map(set_name, sets), pa.int64()), pa.array(prints, pa.binary())], names=["key", "fp", "prints"])
+            columns = [batch.column("key"), pa.array(map(set_name, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "members", "prints"])
 
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = scratch.write(docs.mapInArrow(keyed, "key bigint, fp bigint, prints binary"), "keyed")
-    distinct = scratch.write(rows.groupBy("fp").agg(F.min("key").alias("least"), F.any_value("prints").alias("prints")), "classes")
-    clusters = scratch.write(components(_candidates(distinct, scratch), scratch, "near").join(distinct.select(F.col("fp").alias("node"), "least"), "node"), "clusters")
-    alike = scratch.write(_alike_in(clusters, docs, words, similarity, scratch), "alike")
+    rows = scratch.write(docs.mapInArrow(keyed, "key bigint, fp bigint, members bigint, prints binary"), "keyed")
+    distinct = rows.groupBy("fp").agg(F.min("key").alias("least"), F.any_value("members").alias("members"), F.any_value("prints").alias("prints"))
+    distinct = scratch.write(distinct, "classes")
+    near = components(_candidates(distinct, scratch), scratch, "near").join(distinct.select(F.col("fp").alias("node"), "least", "members"), "node")
+    clusters = scratch.write(in_tasks(_blocked(scratch.write(in_tasks(near, distinct.count()), "nodes")), distinct.count()), "clusters")
+    alike = scratch.write(_alike_in(clusters, docs, words, similarity), "alike")
     scratch.release()
     named = _named(distinct.select("fp", "least"), alike, scratch)
     return rows.join(named, "fp").select(F.col("key").alias(key), "component_id")
@@ -501,5 +524,8 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of df that stay, with df's columns: those that name their component of similar texts. Rows that repeat the
     naming key stay together; of a component of null keys only, the rows stay; an empty table stays empty."""
-    stay = similar_groups(df, key, text, words, similarity).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key")).distinct()
-    return df.join(stay, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    named = similar_groups(df, key, text, words, similarity)
+    # Those that go are fewer than those that stay: they are broadcast up to BROADCAST_KEYS, and no text is shuffled.
+    gone = named.groupBy(F.col(key).alias("_key")).agg(F.bool_or(F.col(key).eqNullSafe(F.col("component_id"))).alias("_stay")).where("NOT _stay").select("_key")
+    gone = _sent(Scratch(df.sparkSession, "simhash-gone").write(gone, "gone"))
+    return df.join(gone, F.col(key).eqNullSafe(F.col("_key")), "left_anti")

@@ -226,6 +226,19 @@ def test_near_dedup_keeps_one_of_each_group(spark, small, empty, edge):
         assert kept == {r.component_id for r in simhash.similar_groups(frame).collect()}
 
 
+def test_near_dedup_shuffles_no_text_at_its_end_and_few_copies_of_prints(spark, small):
+    """What goes is broadcast, whatever size Spark takes for small; prints go to as many buckets as the rows need."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = simhash.dedup(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert [simhash._buckets(n, 51) for n in (0, 202_256, 10**7)] == [12, 13, 51]
+    assert simhash._buckets(10**7, 3000) == 611
+
+
 def test_op6_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     label = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
