@@ -81,8 +81,8 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        ranks, queue = self.ranks, self.queue
-        get, push, pop = ranks.get, queue.push, queue.pop
+        ranks = self.ranks
+        get = ranks.get
         whole = get(piece)
         if whole is not None:
             return [whole]
@@ -90,11 +90,29 @@ class Codec:
         after, before = list(range(1, n + 2)), list(range(-1, n + 1))
         waiting = [get(piece[i : i + 2], -1) for i in range(n)]  # the rank of the pair that starts here
         waiting[n - 1] = -1
+        # The queue's push() and pop() in place: a call for each pair costs as much as what it does. It is empty here and in the end.
+        low, buckets, top = self.queue.low, self.queue.buckets, 0
         for i, rank in enumerate(waiting):
             if rank >= 0:
-                push(rank, i)
-        while queue.top:
-            rank, i = pop()
+                if rank in buckets:
+                    heappush(buckets[rank], i)
+                else:
+                    buckets[rank] = [i]
+                    low[rank >> 8] |= _BIT[rank & 255]
+                    top |= 1 << (rank >> 8)
+        while top:
+            high = (top & -top).bit_length() - 1
+            word = low[high]
+            rank = high << 8 | (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[high] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
             if waiting[i] != rank:
                 continue  # stale
             gone = after[i]
@@ -104,14 +122,24 @@ class Codec:
             waiting[gone] = -1
             waiting[i] = new = get(piece[i : after[end]], -1) if end < n else -1
             if new >= 0:
-                push(new, i)
+                if new in buckets:
+                    heappush(buckets[new], i)
+                else:
+                    buckets[new] = [i]
+                    low[new >> 8] |= _BIT[new & 255]
+                    top |= 1 << (new >> 8)
             left = before[i]
             if left >= 0:
                 new = get(piece[left:end], -1)
                 if waiting[left] != new:
                     waiting[left] = new
                     if new >= 0:
-                        push(new, left)
+                        if new in buckets:
+                            heappush(buckets[new], left)
+                        else:
+                            buckets[new] = [left]
+                            low[new >> 8] |= _BIT[new & 255]
+                            top |= 1 << (new >> 8)
         out, i = [], 0
         while i < n:
             end = after[i]

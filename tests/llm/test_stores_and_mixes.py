@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -179,3 +180,23 @@ def test_op10(spark, request, which):
         for i in ids:
             want[i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()] += 1
     assert Counter(map(tuple, queries.op10_exact_dedup(spark, folder).collect())) == want
+
+
+def test_merge_keeps_its_queue_in_place(monkeypatch):
+    """No call for each pair; ranks beyond 2^16 too. Against the definition: the lowest rank first, its leftmost pair first."""
+    def called(*_):
+        raise AssertionError("a call for each pair")
+
+    monkeypatch.setattr(bpe.RankQueue, "push", called)
+    monkeypatch.setattr(bpe.RankQueue, "pop", called)
+    rnd = random.Random(2)
+    pieces = sorted({bytes(rnd.choices(b"abc", k=rnd.randint(2, 4))) for _ in range(60)})
+    ranks = {bytes([x]): n for n, x in enumerate(b"abc")} | {p: 70_000 + 300 * n for n, p in enumerate(rnd.sample(pieces, len(pieces)))}
+    codec = bpe.Codec(ranks, r".+")
+    for _ in range(300):
+        text = bytes(rnd.choices(b"abc", k=rnd.randint(1, 40)))
+        parts = [text] if text in ranks else [text[i : i + 1] for i in range(len(text))]
+        while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert codec.merge(text) == [ranks[p] for p in parts] and not codec.queue.buckets and not any(codec.queue.low)
